@@ -2,6 +2,8 @@
 
 from lodestone.llm.fingerprint import op5_fingerprint
 from lodestone.llm.licenses import op9_licenses
+from lodestone.llm.near_dup import op10_near_dup
+from lodestone.llm.packing import op4_packing
 
-QUERIES = {"op5_fingerprint": op5_fingerprint, "op9_licenses": op9_licenses}
+QUERIES = {"op5_fingerprint": op5_fingerprint, "op9_licenses": op9_licenses, "op10_near_dup": op10_near_dup, "op4_packing": op4_packing}
 ORACLES: dict[str, str] = {}
