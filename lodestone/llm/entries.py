@@ -4,7 +4,8 @@ from lodestone.llm.fingerprint import op5_fingerprint
 from lodestone.llm.licenses import op9_licenses
 from lodestone.llm.near_dup import op10_near_dup
 from lodestone.llm.packing import op4_packing
+from lodestone.llm.pii import op7_pii
 from lodestone.llm.toxicity import op8_toxicity
 
-QUERIES = {"op5_fingerprint": op5_fingerprint, "op9_licenses": op9_licenses, "op10_near_dup": op10_near_dup, "op4_packing": op4_packing, "op8_toxicity": op8_toxicity}
+QUERIES = {"op5_fingerprint": op5_fingerprint, "op9_licenses": op9_licenses, "op10_near_dup": op10_near_dup, "op4_packing": op4_packing, "op7_pii": op7_pii, "op8_toxicity": op8_toxicity}
 ORACLES: dict[str, str] = {}
