@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import bounded_broadcast, written
 
+BROADCAST_KEYS = 2_000_000  #: at most so many bucket keys (8 bytes each) are broadcast; beyond, the join shuffles
 STARS = 3  #: star rounds before the remaining pairs
 
 
@@ -33,14 +34,15 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def links(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def links(buckets: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Confirmed links (a, b) that connect everything which shares a bucket and links, directly or through others.
 
-    buckets: (key, node), a row for each bucket of a node. confirm: takes distinct pairs (a, b) and returns those that link.
+    buckets: (key, node), a row for each bucket of a node; cheap to compute again. prepare: takes the nodes that share a
+    bucket with another and returns a function that takes distinct pairs (a, b) and returns those that link.
     """
-    buckets = written(buckets.distinct(), "buckets")
     full = written(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "full")
-    shared = written(buckets.join(full, "key"), "shared")
+    shared = written(buckets.join(bounded_broadcast(full, full.count(), BROADCAST_KEYS), "key", "left_semi"), "shared")
+    confirm = prepare(shared.select("node").distinct())
     found = tried = None
     for turn in range(STARS):
         rows = _labelled(shared, found)

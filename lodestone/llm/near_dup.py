@@ -126,7 +126,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFra
         near = pairs.join(a, "a").join(b, "b").where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (estimate("p_a", "p_b") >= least))
         return confirm_on_sets(written(near.select("a", "b").distinct(), "near"), docs, words, percent)
 
-    found = links(nodes.select(F.explode("bands").alias("key"), "node"), confirm)
+    found = links(nodes.select(F.explode("bands").alias("key"), "node"), lambda shared: confirm)
     comps = components(found.union(same))
     out = members.join(comps, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
