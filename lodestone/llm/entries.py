@@ -5,9 +5,10 @@ from lodestone.llm.language import op6_language
 from lodestone.llm.licenses import op9_licenses
 from lodestone.llm.line_dedup import op2_line_dedup
 from lodestone.llm.near_dup import op10_near_dup
+from lodestone.llm.neighbours import op3_neighbours
 from lodestone.llm.packing import op4_packing
 from lodestone.llm.pii import op7_pii
 from lodestone.llm.toxicity import op8_toxicity
 
-QUERIES = {"op5_fingerprint": op5_fingerprint, "op9_licenses": op9_licenses, "op10_near_dup": op10_near_dup, "op2_line_dedup": op2_line_dedup, "op4_packing": op4_packing, "op6_language": op6_language, "op7_pii": op7_pii, "op8_toxicity": op8_toxicity}
+QUERIES = {"op5_fingerprint": op5_fingerprint, "op9_licenses": op9_licenses, "op10_near_dup": op10_near_dup, "op2_line_dedup": op2_line_dedup, "op3_neighbours": op3_neighbours, "op4_packing": op4_packing, "op6_language": op6_language, "op7_pii": op7_pii, "op8_toxicity": op8_toxicity}
 ORACLES: dict[str, str] = {}
