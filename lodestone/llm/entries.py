@@ -1,5 +1,6 @@
 """Registered queries of this package and their SQL."""
 
+from lodestone.llm.bpe import op1_bpe
 from lodestone.llm.fingerprint import op5_fingerprint
 from lodestone.llm.language import op6_language
 from lodestone.llm.licenses import op9_licenses
@@ -10,5 +11,5 @@ from lodestone.llm.packing import op4_packing
 from lodestone.llm.pii import op7_pii
 from lodestone.llm.toxicity import op8_toxicity
 
-QUERIES = {"op5_fingerprint": op5_fingerprint, "op9_licenses": op9_licenses, "op10_near_dup": op10_near_dup, "op2_line_dedup": op2_line_dedup, "op3_neighbours": op3_neighbours, "op4_packing": op4_packing, "op6_language": op6_language, "op7_pii": op7_pii, "op8_toxicity": op8_toxicity}
+QUERIES = {"op1_bpe": op1_bpe, "op5_fingerprint": op5_fingerprint, "op9_licenses": op9_licenses, "op10_near_dup": op10_near_dup, "op2_line_dedup": op2_line_dedup, "op3_neighbours": op3_neighbours, "op4_packing": op4_packing, "op6_language": op6_language, "op7_pii": op7_pii, "op8_toxicity": op8_toxicity}
 ORACLES: dict[str, str] = {}
