@@ -45,3 +45,11 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it (whatever its case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

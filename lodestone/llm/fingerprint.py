@@ -81,7 +81,7 @@ def beside_next(df: DataFrame, order: str, columns: list[str], blocks: int = BLO
     key = F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)))
     rows = df.select(F.col(order).cast("long").alias(order), *[c for c in columns if c != order], key.alias("__key"))
     edges = df.select(key.alias("k")).agg(F.percentile_approx("k", [i / blocks for i in range(1, blocks)], 100_000)).first()[0]
-    splits = [float("-inf"), *sorted({float(x) for x in edges or []}), float("inf")]
+    splits = [float("-inf"), *sorted({float(x) for x in edges or [0]}), float("inf")]
     to_block = Bucketizer(splits=splits, inputCol="__at", outputCol="__b")
     placed = to_block.transform(rows.withColumn("__at", F.col("__key").cast("double"))).withColumn("__block", F.col("__b").cast("int")).drop("__at", "__b")
     firsts = sorted(tuple(r) for r in placed.groupBy("__block").agg(F.min("__key")).collect())
@@ -92,7 +92,7 @@ def beside_next(df: DataFrame, order: str, columns: list[str], blocks: int = BLO
     return own.unionByName(more).repartition(partitions(df), "__block").sortWithinPartitions("__block", "__guest", "__key", *columns)
 
 
-def edited_fingerprints(df: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
+def edited_fingerprints(df: DataFrame, k: int = K, words: int = WORDS, blocks: int = BLOCKS) -> DataFrame:
     """Fingerprints every text, its edited text and the likeness to the next document's (see op5_fingerprint)."""
 
     def row(doc_id, text: str, s, following: str, t):
@@ -119,7 +119,7 @@ def edited_fingerprints(df: DataFrame, k: int = K, words: int = WORDS) -> DataFr
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "contained_in_edited"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
-    dealt = beside_next(df, "doc_id", ["text"])
+    dealt = beside_next(df, "doc_id", ["text"], blocks)
     return dealt.select("doc_id", "text", "__block", "__guest").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, contained_in_edited double")
 
 

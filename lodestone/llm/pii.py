@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read, written
+from lodestone.llm.common import free_name, read, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
 MIN_SEEDS = 3  #: distinct seeds that a pattern needs
@@ -172,8 +172,8 @@ def learn_patterns(df: DataFrame) -> DataFrame:
     return confidence.where(F.col("confidence") >= CONFIDENCE)
 
 
-def find_spans(df: DataFrame, patterns: list[str], keep: list[str]) -> DataFrame:
-    """The columns `keep`, with spans array<struct<kind,start,end>> by start, then kind as listed."""
+def find_spans(df: DataFrame, patterns: list[str], keep: list[str], name: str = "spans") -> DataFrame:
+    """The columns `keep`, with `name` array<struct<kind,start,end>> by start, then kind as listed."""
     known = set(patterns)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     spans = "array<struct<kind:string,start:long,end:long>>"
@@ -185,17 +185,17 @@ def find_spans(df: DataFrame, patterns: list[str], keep: list[str]) -> DataFrame
                 base = base_spans(text) if text else []
                 more = [("id", s, e) for s, e in candidates(text, base) if pattern(text, s) in known] if known and text else []
                 out.append([{"kind": k, "start": s, "end": e} for k, s, e in sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kind)], [*keep, "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kind)], [*keep, name])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + f", spans {spans}"
-    return df.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + f", `{name}` {spans}"
+    return df.select(*keep, F.col("text").alias(free_name(df, "__text"))).mapInArrow(run, schema)
 
 
-def detect(df: DataFrame, keep: list[str]) -> DataFrame:
+def detect(df: DataFrame, keep: list[str], name: str = "spans") -> DataFrame:
     """Learns the patterns on all of df and returns `keep` with the spans of every text."""
     # the patterns that stay are few; more than one pass holds are applied pass by pass
     patterns = [r["pattern"] for r in learn_patterns(df).select("pattern").collect()]
-    return find_spans(df, patterns, keep)
+    return find_spans(df, patterns, keep, name)
 
 
 def mask(text, spans):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read, written
+from lodestone.llm.common import free_name, read, written
 
 SAMPLE = 30_000  #: labelled documents that the lexicon and the logistic function are fitted on, at most
 STEMS = (4, 5, 6, 7, 8)  #: lengths of word stems that may become entries
@@ -184,11 +184,11 @@ def learn(examples: DataFrame) -> tuple[Lexicon, np.ndarray]:
     return lexicon, fit_logistic(x, y)
 
 
-def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id unless given), with score double and n_matches long of every whole text."""
+def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, keep: list[str] | None = None, names: tuple[str, str] = ("score", "n_matches")) -> DataFrame:
+    """The columns `keep` (doc_id unless given), with a score double and the number of matches long of every whole text."""
     words, stems, w = lexicon.words, lexicon.stems, np.asarray(weights)
     keep = keep or ["doc_id"]
-    schema = docs.select(*keep).schema.add("score", "double").add("n_matches", "long")
+    schema = docs.select(*keep).schema.add(names[0], "double").add(names[1], "long")
 
     def run(batches):
         own = Lexicon(words, stems)
@@ -196,9 +196,9 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, keep: list[str
             m = [matches(t or "", own) for t in b.column(b.num_columns - 1).to_pylist()]
             z = np.array([features(x) for x in m]).reshape(-1, len(w)) @ w
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array([x[3] for x in m], pa.int64())], [*keep, "score", "n_matches"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array([x[3] for x in m], pa.int64())], [*keep, *names])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(free_name(docs, "__text"))).mapInArrow(run, schema)
 
 
 def bucket(n: int):
