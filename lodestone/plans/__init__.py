@@ -1 +1,4 @@
-"""plans of lodestone."""
+"""Registered queries. Importing a module of this package registers its queries."""
+
+from lodestone.plans import retrieval_queries  # noqa: F401
+from lodestone.plans.registry import ORACLES, QUERIES  # noqa: F401
