@@ -10,6 +10,7 @@ Defined cases: null and empty texts are one piece holding id 0 only. Repeated ro
 """
 
 import os
+import re
 import zlib
 from collections import Counter
 
@@ -23,15 +24,24 @@ from lodestone.llm.common import read, written
 
 CAPACITY = 2048
 END_ID = 0
-CACHE = 400_000  #: distinct space-free chunks whose ids a Python worker remembers
-CHUNK = 64  #: longer chunks are not remembered
+CACHE = 600_000  #: distinct words whose ids a Python worker remembers
+CHUNK = 64  #: longer words are not remembered
 BRANCHES, NODES, RETRIES = 4, 2_000, 400
 Filling = tuple[tuple[int, int], ...]  # (length, times), lengths falling
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit integers. Words end at white space, so chunks between spaces are
-    tokenised apart and remembered."""
+    """Ids of texts as little-endian unsigned 32-bit integers, by the tokenizer's own model.
+
+    Where a text has only Latin characters (below U+0250), on which the tokenizer's normaliser does nothing but
+    lower-case, it is cut into words here and each word goes through the model once; the ids are remembered. Of other texts the
+    chunks between spaces that hold further characters go through the whole tokenizer.
+    """
+
+    _letter = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+    _number = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+    _cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_letter}]+|[{_number}]|[^\t-\r \x85\xa0{_letter}{_number}]+")
+    _odd = re.compile("[^\x00-\u024f]")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,23 +49,33 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = iter(range(256, 512))
+        self.alphabet = {b: b if b in shown else next(hidden) for b in range(256)}
         self.known: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _new(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
+        ids = np.array([t.id for t in tokens], "<u4").tobytes()
+        if len(word) <= CHUNK:
+            self.known[word] = ids
+        return ids
+
+    def _latin(self, text: str) -> bytes:
+        words = self._cut.findall(text.lower())
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            ids = [x if x is not None else self._new(w) for x, w in zip(ids, words, strict=True)]
+        return b"".join(ids)
+
+    def __call__(self, text: str) -> bytes:
         if len(self.known) > CACHE:
             self.known.clear()
-        chunks = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        for c in chunks:
-            new |= set(c) - self.known.keys()
-        new_list = list(new)
-        ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new_list, add_special_tokens=False)]
-        fresh = dict(zip(new_list, ids, strict=True))
-        get = {k: v for k, v in fresh.items() if len(k) > CHUNK}
-        self.known.update((k, v) for k, v in fresh.items() if len(k) <= CHUNK)
-        if not get:
-            return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
-        return [b"".join([self.known[x] if x in self.known else get[x] for x in c]) for c in chunks]
+        if not self._odd.search(text):
+            return self._latin(text)
+        return b"".join(np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() if self._odd.search(c) else self._latin(c) for c in text.split(" "))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -74,20 +94,13 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool =
         for b in batches:
             out = []
             doc_ids, all_texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            at = 0
-            while at < len(all_texts):
-                end, size = at, 0
-                while end < len(all_texts) and size < 4_000_000:
-                    size += len(all_texts[end])
-                    end += 1
-                for doc_id, data in zip(doc_ids[at:end], encode(all_texts[at:end]), strict=True):
-                    data += END_ID.to_bytes(4, "little")
-                    for i, start in enumerate(range(0, len(data), 4 * capacity)):
-                        piece = data[start : start + 4 * capacity]
-                        n = len(piece) // 4
-                        out.append((doc_id, i, start // 4, n, zlib.crc32(piece), part, seen[n], *[piece] * ids))
-                        seen[n] += 1
-                at = end
+            for doc_id, text in zip(doc_ids, all_texts, strict=True):
+                data = encode(text) + END_ID.to_bytes(4, "little")
+                for i, start in enumerate(range(0, len(data), 4 * capacity)):
+                    piece = data[start : start + 4 * capacity]
+                    n = len(piece) // 4
+                    out.append((doc_id, i, start // 4, n, zlib.crc32(piece), part, seen[n], *[piece] * ids))
+                    seen[n] += 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds, strict=False)], names)
 
