@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 RANKS = {"view": 0, "click": 1, "error": 2, "signup": 3, "purchase": 4}  #: the higher is the later state of life
 
@@ -32,7 +33,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     """The stream's result: of the last batch in complete mode, else of all batches, with their number as batch_id."""
     spark = stream.sparkSession
     folder = shared_folder(spark)
-    schema = stream.schema if mode == "complete" else stream.schema.add("batch_id", "long")
+    schema = stream.schema if mode == "complete" else StructType([*stream.schema.fields, StructField("batch_id", LongType())])
 
     def put(batch: DataFrame, number: int) -> None:
         if mode == "complete":
