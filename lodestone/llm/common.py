@@ -38,7 +38,7 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
+def texts(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes]:
     """A text column as UTF-8 bytes; null as empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 

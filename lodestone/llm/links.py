@@ -1,20 +1,22 @@
 """Links between nodes that share a bucket, and the components they form, without all pairs of a group.
 
 `links` first compares each bucket's members with one member of the bucket only (a star); whatever links is one
-component from then on. A few more stars with other centres merge what the first left over. Last, in buckets that still
-hold several components, members outside the bucket's largest component are compared with every member of the other
-components, so that no linked pair of a bucket stays apart. Pairs inside one component are never formed.
+component from then on. Another star with other centres merges what the first left over. Last come the buckets that still
+hold several components: members of small components are compared pair by pair, and each node is held against every large
+component of its buckets as a whole, in blocks, so that no linked pair of a bucket stays apart. Pairs inside one component
+are never formed, nor pairs with the members of a large one.
 """
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import bounded_broadcast, written
 
 BROADCAST_KEYS = 2_000_000  #: at most so many bucket keys (8 bytes each) are broadcast; beyond, the join shuffles
-STARS = 3  #: star rounds before the remaining pairs
+LARGE = 16  #: members from which on a component is swept in blocks
+STARS = 2  #: star rounds before the remaining pairs
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,49 +36,87 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def links(buckets: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def links(buckets: DataFrame, traits: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], sweep: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Confirmed links (a, b) that connect everything which shares a bucket and links, directly or through others.
 
-    buckets: (key, node), a row for each bucket of a node; cheap to compute again. prepare: takes the nodes that share a
-    bucket with another and returns a function that takes distinct pairs (a, b) and returns those that link.
+    buckets: (key, node), a row for each bucket of a node; cheap to compute again. traits: (node, trait). close: a
+    condition on two traits (column names) that every link meets; it is part of the joins, so pairs that fail it are never
+    rows. confirm: takes distinct pairs (a, b) and returns those that link. sweep: takes (x, comp), nodes to be held against
+    all of a large component, and its members (node, comp), and returns links (a, b): one at least for each x that links
+    with a member; the pairs need not be rows.
     """
     full = written(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "full")
     shared = written(buckets.join(bounded_broadcast(full, full.count(), BROADCAST_KEYS), "key", "left_semi"), "shared")
-    confirm = prepare(shared.select("node").distinct())
-    found = tried = None
+    shared = written(shared.join(traits, "node"), "shared")
+    found = tried = labels = None
     for turn in range(STARS):
-        rows = _labelled(shared, found)
+        rows = _labelled(shared, labels)
         if rows is None:
             return found
         # the centre changes with each turn, so that one odd member does not decide for its bucket
         order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        hubs = written(rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h")).select("key", "h.hub", "h.hub_comp"), "hubs")
-        pairs = rows.join(hubs, "key").where("comp <> hub_comp").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        found, tried = _try(pairs, confirm, found, tried)
-    rows = _labelled(shared, found)
+        hub = F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("trait").alias("hub_trait"))
+        hubs = written(rows.groupBy("key").agg(F.min(hub).alias("h")).select("key", "h.hub", "h.hub_comp", "h.hub_trait"), "hubs")
+        pairs = rows.join(hubs, (rows["key"] == hubs["key"]) & (F.col("comp") != F.col("hub_comp")) & close("trait", "hub_trait"))
+        pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        new, pairs = _try(pairs, confirm, tried)
+        labels = merged(labels, new)
+        found, tried = (new, pairs) if found is None else (found.union(new), tried.union(pairs))
+    rows = _labelled(shared, labels)
     if rows is None:
         return found
-    rows = written(rows, "rows")
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    largest = written(sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main")), "largest")
-    rows = written(rows.join(largest, "key"), "rows")
-    few = rows.where("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("x_comp"))
-    pairs = rows.join(few, "key").where("comp <> x_comp AND (comp = main OR node < x)").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    found, _ = _try(pairs, confirm, found, tried)
-    return found
-
-
-def _labelled(shared: DataFrame, found: DataFrame | None) -> DataFrame | None:
-    """(key, node, comp) of the buckets that still hold several components; None if there are none."""
-    if found is None:
-        return shared.select("key", "node", F.col("node").alias("comp"))
-    rows = shared.join(components(found), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    # what is left: pairs of small components one by one, all nodes against each large component in blocks
+    sizes = written(labels.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") > LARGE), "sizes")
+    rows = written(rows.join(sizes, "comp", "left").select("key", "node", "trait", "comp", F.coalesce("size", F.lit(0)).alias("size")), "rows")
+    small = rows.where("size = 0")
+    other = small.select(F.col("key").alias("x_key"), F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("trait").alias("x_trait"))
+    apart = (F.col("key") == F.col("x_key")) & (F.col("comp") != F.col("x_comp")) & (F.col("node") < F.col("x"))
+    pairs = small.join(other, apart & close("trait", "x_trait")).select(F.col("node").alias("a"), F.col("x").alias("b")).distinct()
+    new, _ = _try(pairs, confirm, tried)
+    found = found.union(new)
+    if sizes.isEmpty():
+        return found
+    large = rows.where("size > 0").select(F.col("key").alias("x_key"), F.col("comp").alias("into"), F.col("size").alias("into_size")).distinct()
+    lesser = (F.col("size") < F.col("into_size")) | ((F.col("size") == F.col("into_size")) & (F.col("comp") < F.col("into")))
+    asks = rows.join(large, (F.col("key") == F.col("x_key")) & (F.col("comp") != F.col("into")) & lesser).select(F.col("node").alias("x"), F.col("into").alias("comp")).distinct()
+    asks = written(asks, "asks")
+    members = written(labels.join(asks.select("comp").distinct(), "comp", "left_semi"), "members")
+    return found.union(written(sweep(asks, members).select("a", "b"), "links"))
+
+
+def merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """labels (node, comp) with the links (a, b) added; only the components that the links touch are worked on."""
+    if labels is None:
+        return components(new)
+    a, b = (labels.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    edges = new.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    roots = components(edges)
+    moved = labels.join(roots.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+    return written(moved.union(roots.join(labels, "node", "left_anti")), "labels")
+
+
+def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """(key, node, trait, comp) of the buckets that still hold several components; None if there are none."""
+    if labels is None:
+        return shared.select("key", "node", "trait", F.col("node").alias("comp"))
+    rows = shared.join(labels, "node", "left").select("key", "node", "trait", F.coalesce("comp", "node").alias("comp"))
     rows = written(rows, "labelled")
     mixed = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
     return None if mixed.isEmpty() else rows.join(mixed, "key")
 
 
-def _try(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], found: DataFrame | None, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _try(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The links among the pairs that were not tried before, and those pairs."""
     pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    new = written(confirm(pairs).select("a", "b"), "links")
-    return (new, pairs) if found is None else (found.union(new), tried.union(pairs))
+    return written(confirm(pairs).select("a", "b"), "links"), pairs
+
+
+def in_blocks(asks: DataFrame, members: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """asks (x, comp, m, q) and members (node, comp, m, q), dealt so that each (comp, m, q) holds about `size` of either and
+    each x meets each member of its component once."""
+    counts = members.groupBy("comp").agg(F.count("*").alias("n")).join(asks.groupBy("comp").agg(F.count("*").alias("w")), "comp")
+    counts = written(counts.select("comp", F.ceil(F.col("n") / size).cast("int").alias("ms"), F.ceil(F.col("w") / size).cast("int").alias("qs")), "blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = asks.join(counts, "comp").select("x", "comp", every("ms").alias("m"), F.pmod(F.xxhash64("x"), F.col("qs")).cast("int").alias("q"))
+    y = members.join(counts, "comp").select("node", "comp", F.pmod(F.xxhash64("node"), F.col("ms")).cast("int").alias("m"), every("qs").alias("q"))
+    return x, y

@@ -15,12 +15,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import bounded_broadcast, read, texts, written
 from lodestone.llm.hashing import jaccard_counts, mix, shingle_hashes
-from lodestone.llm.links import components, links
+from lodestone.llm.links import components, in_blocks, links
 
 ROWS, BANDS, BITS = 4, 32, 2
 PERMUTATIONS = ROWS * BANDS
@@ -29,6 +29,7 @@ _rng = np.random.RandomState(11)
 _XOR = _rng.randint(0, 1 << 62, PERMUTATIONS, dtype=np.int64).astype(np.uint64)[:, None]
 _ODD = (_rng.randint(0, 1 << 62, PERMUTATIONS, dtype=np.int64).astype(np.uint64) | np.uint64(1))[:, None]
 _CHUNK = 1024
+BLOCK = 256  #: members of a large component that a task holds nodes against
 
 
 def minima(h: np.ndarray) -> np.ndarray:
@@ -63,15 +64,15 @@ def signatures(df: DataFrame, words: int) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>, planes array<long>")
 
 
-def estimate(x: str, y: str):
-    """Similarity estimated from the bit planes of columns x and y: agreement of all bits, less what chance gives."""
+def estimate(x: Column, y: Column) -> Column:
+    """Similarity estimated from two columns of bit planes: agreement of all bits, less what chance gives."""
     words = PERMUTATIONS // 64
-    differ = sum(F.bit_count(_or([F.col(x)[b * words + i].bitwiseXOR(F.col(y)[b * words + i]) for b in range(BITS)])) for i in range(words))
+    differ = sum(F.bit_count(_or([x[b * words + i].bitwiseXOR(y[b * words + i]) for b in range(BITS)])) for i in range(words))
     chance = 0.5**BITS
     return ((F.lit(1.0) - differ / F.lit(float(PERMUTATIONS))) - chance) / (1 - chance)
 
 
-def _or(columns: list):
+def _or(columns: list[Column]) -> Column:
     out = columns[0]
     for c in columns[1:]:
         out = out.bitwiseOR(c)
@@ -84,11 +85,20 @@ def _margin(percent: int) -> float:
     return 5 * math.sqrt(agree * (1 - agree) / PERMUTATIONS) / (1 - 0.5**BITS)
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the ids (node), which are counted before they are broadcast. docs: (node, text)."""
+    ids = written(ids.distinct(), "ids")
+    return written(docs.join(bounded_broadcast(ids, ids.count(), BROADCAST_IDS), "node", "left_semi").distinct(), "texts")
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 128):
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def confirm_on_sets(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. docs: (node, text)."""
-    ids = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ids")
-    held = docs.join(bounded_broadcast(ids, ids.count(), BROADCAST_IDS), "node", "left_semi").distinct()
-    held = written(held, "texts")
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+    held = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs)
     a, b = (held.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = pairs.join(b, "b").join(a, "a")
 
@@ -96,18 +106,46 @@ def confirm_on_sets(pairs: DataFrame, docs: DataFrame, words: int, percent: int)
         last, kept = None, None
         for batch in batches:
             keep = []
-            cols = [batch.column(i).to_pylist() for i in range(4)]
-            for x, y, s, t in zip(*cols, strict=True):
-                if x != last:
-                    last, kept = x, shingle_hashes(s.encode("utf-8", "surrogatepass"), words)
-                inter, union = jaccard_counts(kept, shingle_hashes(t.encode("utf-8", "surrogatepass"), words))
-                if 100 * inter >= percent * union:
-                    keep.append((x, y))
+            for part in _slices(batch):
+                for x, y, s, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part, "text_a"), texts(part, "text_b"), strict=True):
+                    if (x, s) != last:
+                        last, kept = (x, s), shingle_hashes(s, words)
+                    inter, union = jaccard_counts(kept, shingle_hashes(t, words))
+                    if 100 * inter >= percent * union:
+                        keep.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64())], ["a", "b"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def sweep_on_sets(asks: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Holds each asked node against all members of a component, block by block, on full sets; one link a block at most."""
+    held = texts_of(asks.select(F.col("x").alias("node")).union(members.select("node")), docs)
+    x, y = in_blocks(asks, members, BLOCK)
+    x = x.join(held.select(F.col("node").alias("x"), F.col("text").alias("asked")), "x")
+    y = y.join(held.select("node", F.col("text").alias("member")), "node")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        asked = left.num_rows and right.num_rows
+        sets = [shingle_hashes(t, words) for t in texts(right, "member")] if asked else []
+        if asked:
+            flat = np.concatenate(sets)
+            sizes = np.array([len(s) for s in sets])
+            starts = np.cumsum(sizes) - sizes
+            nodes = right.column("node").to_pylist()
+            for i, t in zip(left.column("x").to_pylist(), texts(left, "asked"), strict=True):
+                own = shingle_hashes(t, words)
+                inter = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, starts, dtype=np.int64)
+                hit = np.flatnonzero(100 * inter >= percent * (sizes + len(own) - inter))
+                if len(hit):
+                    out.append((i, nodes[hit[0]]))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    keys = ["comp", "m", "q"]
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, a row for each row of df."""
     sig = written(signatures(df, words), "signatures")
@@ -118,15 +156,15 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     # a document whose repeated rows have several texts
     several = members.where("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
     same = written(members.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "same")
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("planes").alias(f"p_{x}")) for x in "ab")
     docs = df.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL")
     least = percent / 100 - _margin(percent)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(a, "a").join(b, "b").where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (estimate("p_a", "p_b") >= least))
-        return confirm_on_sets(written(near.select("a", "b").distinct(), "near"), docs, words, percent)
+    def close(x: str, y: str) -> Column:
+        n, m = F.col(x)["n"], F.col(y)["n"]
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (estimate(F.col(x)["planes"], F.col(y)["planes"]) >= least)
 
-    found = links(nodes.select(F.explode("bands").alias("key"), "node"), lambda shared: confirm)
+    traits = nodes.select("node", F.struct("n", "planes").alias("trait"))
+    found = links(nodes.select(F.explode("bands").alias("key"), "node"), traits, close, lambda pairs: confirm_on_sets(pairs, docs, words, percent), lambda asks, members: sweep_on_sets(asks, members, docs, words, percent))
     comps = components(found.union(same))
     out = members.join(comps, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
