@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read
+from lodestone.llm.common import partitions, read, small
 
 CACHE = 1 << 19  #: words whose ids are broadcast (about 30 bytes each)
 BUCKETS = 1 << 16
@@ -97,7 +97,9 @@ def word_counts(df: DataFrame, pattern: str) -> DataFrame:
 
         cut = regex.compile(pattern)
         for b in batches:
-            seen = Counter(chain.from_iterable(cut.findall(t) for t in b.column(0).to_pylist() if t))
+            seen: Counter = Counter()
+            for part in small([b], 1024):
+                seen.update(chain.from_iterable(cut.findall(t) for t in part.column(0).to_pylist() if t))
             yield pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     return df.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -112,9 +114,13 @@ def encode(df: DataFrame, rank_file: str, pattern: str, cache: int = CACHE) -> D
     pattern = public_pattern(pattern)
     merges = Merges(load_ranks(rank_file))
     common = word_counts(df, pattern).where("n > 1").orderBy(F.desc("n"), "word").limit(cache)
-    folded = common.select("word", merges.encode(F.col("word")).alias("ids"))
-    known = {bytes(r["word"]).decode("utf-8", "surrogatepass"): np.array(r["ids"], "<u4").tobytes() for r in folded.toLocalIterator()}
+    folded = common.repartition(partitions(df)).select("word", merges.encode(F.col("word")).alias("ids")).toArrow()
+    known: dict[str, bytes] = {}
+    for b in folded.to_batches(max_chunksize=4096):
+        at, data = b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py(), b.column(1).flatten().to_numpy().astype("<u4").tobytes()
+        known.update((w.decode("utf-8", "surrogatepass"), data[4 * i : 4 * j]) for w, i, j in zip(b.column(0).to_pylist(), at[:-1], at[1:], strict=True))
     shared = df.sparkSession.sparkContext.broadcast(known)
+    del folded, known
 
     def cut_texts(batches):
         """A row per document: its ids, where a word to be folded stands as its number with the high bit set; the words on
@@ -123,8 +129,8 @@ def encode(df: DataFrame, rank_file: str, pattern: str, cache: int = CACHE) -> D
 
         cut = regex.compile(pattern)
         get = shared.value.get
-        for b in batches:
-            doc_ids, all_texts, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
+        for part in small(batches, 1024):
+            doc_ids, all_texts, at = part.column(0).to_pylist(), part.column(1).to_pylist(), 0
             while at < len(all_texts):
                 end, size = at, 0
                 while end < len(all_texts) and size < BATCH:
@@ -149,7 +155,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, cache: int = CACHE) -> D
 
     def put_together(batches):
         folds, starts, sizes = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
-        for b in batches:
+        for b in small(batches):
             out = []
             for data, first, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 if first:
@@ -182,7 +188,7 @@ def decoded(df: DataFrame, rank_file: str) -> DataFrame:
         tokens = load_ranks(rank_file)
         sizes = np.array([len(t) for t in tokens], np.int64)
         data, starts = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes
-        for b in batches:
+        for b in small(batches):
             out = [decode(np.frombuffer(x, "<u4").astype(np.int64), data, starts, sizes) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
 

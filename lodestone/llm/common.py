@@ -43,6 +43,13 @@ def texts(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+def small(batches, rows: int = 512):
+    """The batches in slices, so that a task holds few rows at once as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
