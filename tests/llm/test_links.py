@@ -104,11 +104,13 @@ def brute_lines(rows):
     import xxhash
 
     def norm(line):
-        return tuple(line.lower().translate(str.maketrans("", "", line_dedup.MARKS)).split())
+        return tuple(re.findall("[^\\s" + re.escape(line_dedup.MARKS) + "]+", line.lower()))
 
     def simhash(w):
-        hs = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
-        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(w))
+        hs = [xxhash.xxh64_intdigest(x.encode(), xxhash.xxh64_intdigest(y.encode(), 42)) if x else xxhash.xxh64_intdigest(y.encode(), 42) for y, x in zip(w, [*w[1:], None], strict=True)]
+        if len(w) > line_dedup.SHORT:
+            hs = [h for h in hs if h % 4 == 0] or hs
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
     rows = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0] or 0))
     occ = [(i, k, norm(line)) for i, t in rows for k, line in enumerate(t.split("\n")) if norm(line)]
@@ -141,15 +143,15 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.where("doc_id < 0")).count() == 0
 
 
-def test_long_lines_are_hashed_whole(spark):
-    import xxhash
+def test_simhash_of_any_length(spark):
     from pyspark.sql import functions as F
 
-    w = [f"t{i % 37}" for i in range(1000)]
-    hs = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
-    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > 1000)
-    df = spark.createDataFrame([(w,)], "w array<string>").select(line_dedup.lanes(F.col("w")).alias("l"), F.lit(1000).alias("n"))
-    assert df.select(line_dedup.simhash("l", "n").alias("h")).first()["h"] % (1 << 64) == want
+    rng = np.random.RandomState(3)
+    rows = [(n, [int(x) for x in rng.randint(-(1 << 63), (1 << 63) - 1, n)]) for n in (1, 2, 3, 62, 63, 64, 126, 127, 1000)]
+    df = spark.createDataFrame(rows, "n int, h array<long>").select("n", line_dedup.simhash(F.col("h")).alias("s"))
+    got = {r["n"]: r["s"] % (1 << 64) for r in df.collect()}
+    for n, hs in rows:
+        assert got[n] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > n), n
 
 
 def test_neighbours(spark):
