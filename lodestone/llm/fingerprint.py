@@ -17,7 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import partitions, read, texts
+from lodestone.llm.common import partitions, read, small, texts
 from lodestone.llm.hashing import shingle_hashes
 
 WORDS, K = 5, 128
@@ -65,7 +65,7 @@ def fingerprints(df: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """doc_id, fingerprint string, n_shingles double (estimated) of every text."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             s = [sketch(t, k, words) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([dump(x) for x in s]), pa.array([distinct(x, k) for x in s], pa.float64())], ["doc_id", "fingerprint", "n_shingles"])
 
@@ -103,7 +103,7 @@ def edited_fingerprints(df: DataFrame, k: int = K, words: int = WORDS, blocks: i
 
     def run(batches):
         held, block = None, None
-        for b in batches:
+        for b in small(batches):
             out = []
             for doc_id, text, at, guest in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("__block").to_pylist(), b.column("__guest").to_pylist(), strict=True):
                 if at != block:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read
+from lodestone.llm.common import read, small
 
 SAMPLE = 6_000  #: labelled texts the centroids are fitted on, at most (the first by a hash of doc_id)
 DIMENSIONS = 4096
@@ -104,7 +104,7 @@ def learn(examples: DataFrame, sample: int = SAMPLE) -> Model:
     texts = examples.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             c = [counts(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.minimum(x, 65535).astype("<u2").tobytes() for x in c], pa.binary()), b.column(2)], ["lang", "counts", "doc_id"])
 
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every whole text."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             out = []
             texts = [t or "" for t in b.column(1).to_pylist()]
             for at in range(0, len(texts), 256):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read, texts
+from lodestone.llm.common import read, small, texts
 
 # The contract's phrases and labels.
 PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -175,7 +175,7 @@ def scan_licenses(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: l
     def run(batches):
         scanner = Scanner(phrases, templates)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("covered", pa.float64())]))
-        for b in batches:
+        for b in small(batches):
             rows = [scanner.scan(t) for t in texts(b)]
             cols = [b.column(0)]
             for name, t in (("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())):

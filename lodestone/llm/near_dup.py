@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_broadcast, read, texts, written
+from lodestone.llm.common import bounded_broadcast, read, small, texts, written
 from lodestone.llm.hashing import jaccard_counts, mix, shingle_hashes
 from lodestone.llm.links import components, in_blocks, links
 
@@ -57,7 +57,7 @@ def signature(text: bytes, words: int) -> tuple:
 
 def signatures(df: DataFrame, words: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             n, k1, k2, bands, planes = zip(*(signature(t, words) for t in texts(b)), strict=True) if b.num_rows else ([],) * 5
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "bands", "planes"])
 
@@ -91,11 +91,6 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return written(docs.join(bounded_broadcast(ids, ids.count(), BROADCAST_IDS), "node", "left_semi").distinct(), "texts")
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 128):
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def confirm_on_sets(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     held = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs)
@@ -104,15 +99,14 @@ def confirm_on_sets(pairs: DataFrame, docs: DataFrame, words: int, percent: int)
 
     def run(batches):
         last, kept = None, None
-        for batch in batches:
+        for part in small(batches, 128):
             keep = []
-            for part in _slices(batch):
-                for x, y, s, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part, "text_a"), texts(part, "text_b"), strict=True):
-                    if (x, s) != last:
-                        last, kept = (x, s), shingle_hashes(s, words)
-                    inter, union = jaccard_counts(kept, shingle_hashes(t, words))
-                    if 100 * inter >= percent * union:
-                        keep.append((x, y))
+            for x, y, s, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part, "text_a"), texts(part, "text_b"), strict=True):
+                if (x, s) != last:
+                    last, kept = (x, s), shingle_hashes(s, words)
+                inter, union = jaccard_counts(kept, shingle_hashes(t, words))
+                if 100 * inter >= percent * union:
+                    keep.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64())], ["a", "b"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")

@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read, written
+from lodestone.llm.common import read, small, written
 
 CAPACITY = 2048
 END_ID = 0
-CACHE = 600_000  #: distinct words whose ids a Python worker remembers
+CACHE = 300_000  #: distinct words whose ids a Python worker remembers
 CHUNK = 64  #: longer words are not remembered
 BRANCHES, NODES, RETRIES = 4, 2_000, 400
 Filling = tuple[tuple[int, int], ...]  # (length, times), lengths falling
@@ -91,7 +91,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool =
         encode = _encoders[tokenizer]
         part, seen = TaskContext.get().partitionId(), Counter()
         names = [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * ids
-        for b in batches:
+        for b in small(batches):
             out = []
             doc_ids, all_texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for doc_id, text in zip(doc_ids, all_texts, strict=True):

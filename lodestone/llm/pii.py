@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free_name, read, written
+from lodestone.llm.common import free_name, read, small, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
 MIN_SEEDS = 3  #: distinct seeds that a pattern needs
@@ -119,7 +119,7 @@ def _instances(df: DataFrame) -> DataFrame:
     """(pattern, instance, seed, n) of base entities and candidates."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             seen: Counter = Counter()
             for text in b.column(0).to_pylist():
                 base = base_spans(text) if text else []
@@ -138,7 +138,7 @@ def _places(df: DataFrame, patterns: list[str]) -> DataFrame:
     known = set(patterns)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             seen: Counter = Counter()
             for text in b.column(0).to_pylist():
                 words = text.lower().split() if text else []
@@ -179,16 +179,17 @@ def find_spans(df: DataFrame, patterns: list[str], keep: list[str], name: str =
     spans = "array<struct<kind:string,start:long,end:long>>"
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             out = []
-            for text in b.column(b.num_columns - 1).to_pylist():
+            for text in b.column(at).to_pylist():
                 base = base_spans(text) if text else []
                 more = [("id", s, e) for s, e in candidates(text, base) if pattern(text, s) in known] if known and text else []
                 out.append([{"kind": k, "start": s, "end": e} for k, s, e in sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kind)], [*keep, name])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, kind)], [*keep, name])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + f", `{name}` {spans}"
-    return df.select(*keep, F.col("text").alias(free_name(df, "__text"))).mapInArrow(run, schema)
+    at = keep.index("text") if "text" in keep else len(keep)
+    return df.select(*keep, *([] if at < len(keep) else [F.col("text").alias(free_name(df, "__text"))])).mapInArrow(run, schema)
 
 
 def detect(df: DataFrame, keep: list[str], name: str = "spans") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free_name, read, written
+from lodestone.llm.common import free_name, read, small, written
 
 SAMPLE = 30_000  #: labelled documents that the lexicon and the logistic function are fitted on, at most
 STEMS = (4, 5, 6, 7, 8)  #: lengths of word stems that may become entries
@@ -55,7 +55,7 @@ class Lexicon:
         """0 for a word without a class, else (class, weight)."""
         got = self.memo.get(raw)
         if got is None:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 200_000:
                 self.memo.clear()
             got = self.memo[raw] = self._look(raw.strip(STRIP).lower())
         return got
@@ -149,7 +149,7 @@ def learn(examples: DataFrame) -> tuple[Lexicon, np.ndarray]:
     examples = written(examples.select("text", "toxic").dropDuplicates(["text"]), "toxic_examples")  # copies count once
 
     def entries(batches):
-        for b in batches:
+        for b in small(batches, 4096):
             pos, neg = Counter(), Counter()
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen = {w.strip(STRIP).lower() for w in text.split()}
@@ -173,7 +173,7 @@ def learn(examples: DataFrame) -> tuple[Lexicon, np.ndarray]:
 
     def measure(batches):
         own = Lexicon(words, stems)
-        for b in batches:
+        for b in small(batches):
             f = [features(matches(t, own)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), b.column(1)], ["f", "toxic"])
 
@@ -192,13 +192,14 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, keep: list[str
 
     def run(batches):
         own = Lexicon(words, stems)
-        for b in batches:
-            m = [matches(t or "", own) for t in b.column(b.num_columns - 1).to_pylist()]
+        for b in small(batches):
+            m = [matches(t or "", own) for t in b.column(at).to_pylist()]
             z = np.array([features(x) for x in m]).reshape(-1, len(w)) @ w
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array([x[3] for x in m], pa.int64())], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s), pa.array([x[3] for x in m], pa.int64())], [*keep, *names])
 
-    return docs.select(*keep, F.col("text").alias(free_name(docs, "__text"))).mapInArrow(run, schema)
+    at = keep.index("text") if "text" in keep else len(keep)
+    return docs.select(*keep, *([] if at < len(keep) else [F.col("text").alias(free_name(docs, "__text"))])).mapInArrow(run, schema)
 
 
 def bucket(n: int):
