@@ -36,18 +36,19 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def links(buckets: DataFrame, traits: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], sweep: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def links(nodes: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], sweep: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Confirmed links (a, b) that connect everything which shares a bucket and links, directly or through others.
 
-    buckets: (key, node), a row for each bucket of a node; cheap to compute again. traits: (node, trait). close: a
+    nodes: (node, keys, trait), with the node's buckets as an array; cheap to compute again. close: a
     condition on two traits (column names) that every link meets; it is part of the joins, so pairs that fail it are never
     rows. confirm: takes distinct pairs (a, b) and returns those that link. sweep: takes (x, comp), nodes to be held against
     all of a large component, and its members (node, comp), and returns links (a, b): one at least for each x that links
     with a member; the pairs need not be rows.
     """
+    buckets = nodes.select(F.explode("keys").alias("key"), "node")
     full = written(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "full")
     shared = written(buckets.join(bounded_broadcast(full, full.count(), BROADCAST_KEYS), "key", "left_semi"), "shared")
-    shared = written(shared.join(traits, "node"), "shared")
+    shared = written(shared.join(nodes.select("node", "trait"), "node"), "shared")
     found = tried = labels = None
     for turn in range(STARS):
         rows = _labelled(shared, labels)
@@ -68,10 +69,11 @@ def links(buckets: DataFrame, traits: DataFrame, close: Callable[[str, str], Col
     # what is left: pairs of small components one by one, all nodes against each large component in blocks
     sizes = written(labels.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") > LARGE), "sizes")
     rows = written(rows.join(sizes, "comp", "left").select("key", "node", "trait", "comp", F.coalesce("size", F.lit(0)).alias("size")), "rows")
-    small = rows.where("size = 0")
-    other = small.select(F.col("key").alias("x_key"), F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("trait").alias("x_trait"))
+    small = rows.where("size = 0").join(nodes.select("node", "keys"), "node")
+    other = small.select(F.col("key").alias("x_key"), F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("trait").alias("x_trait"), F.col("keys").alias("x_keys"))
+    once = F.col("key") == F.array_min(F.array_intersect("keys", "x_keys"))  # a pair is formed in one of its buckets only
     apart = (F.col("key") == F.col("x_key")) & (F.col("comp") != F.col("x_comp")) & (F.col("node") < F.col("x"))
-    pairs = small.join(other, apart & close("trait", "x_trait")).select(F.col("node").alias("a"), F.col("x").alias("b")).distinct()
+    pairs = small.join(other, apart & close("trait", "x_trait") & once).select(F.col("node").alias("a"), F.col("x").alias("b")).distinct()
     new, _ = _try(pairs, confirm, tried)
     found = found.union(new)
     if sizes.isEmpty():

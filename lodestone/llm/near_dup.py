@@ -157,8 +157,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFra
         n, m = F.col(x)["n"], F.col(y)["n"]
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (estimate(F.col(x)["planes"], F.col(y)["planes"]) >= least)
 
-    traits = nodes.select("node", F.struct("n", "planes").alias("trait"))
-    found = links(nodes.select(F.explode("bands").alias("key"), "node"), traits, close, lambda pairs: confirm_on_sets(pairs, docs, words, percent), lambda asks, members: sweep_on_sets(asks, members, docs, words, percent))
+    keyed = nodes.select("node", F.col("bands").alias("keys"), F.struct("n", "planes").alias("trait"))
+    found = links(keyed, close, lambda pairs: confirm_on_sets(pairs, docs, words, percent), lambda asks, members: sweep_on_sets(asks, members, docs, words, percent))
     comps = components(found.union(same))
     out = members.join(comps, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
