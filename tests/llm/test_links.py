@@ -202,3 +202,26 @@ def test_pipeline(spark, tmp_path):
     empty = df.where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_line_dedup_links_all_lines_at_the_similarity(spark):
+    """Planted edits in lines of 4 to 100 words, against edit similarity alone: recall 1."""
+    rng = np.random.RandomState(11)
+    word = lambda: f"w{rng.randint(0, 3000)}"
+    lines = []
+    for n in (4, 5, 6, 8, 9, 10, 14, 16, 17, 20, 30, 50, 100):
+        for share in (0.0, 0.5, 1.0):
+            base = [word() for _ in range(n)]
+            other = list(base)
+            for _ in range(max(1, int(0.2 * n * share + 1e-9))):
+                at, kind = rng.randint(0, len(other)), rng.randint(0, 3)
+                other[at : at + (kind != 1)] = [] if kind == 2 and len(other) > 1 else [word()]
+            lines += [base, other]
+    repeated = ["of"] * 10
+    lines += [repeated, ["of"] * 4 + ["x1"] + ["of"] * 3 + ["x2", "of"], ["a1", "b1"] * 5, ["a1", "b1"] * 4 + ["b1", "a1"], ["b1", "a1"] * 5]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    near = [(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(lines), 2) if edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)]
+    comp = components(range(len(lines)), near)
+    gone = {r["doc_id"] for r in line_dedup.duplicate_lines(df).collect()}
+    assert len(near) > 30
+    assert gone == {i for i, c in comp.items() if c != i}
