@@ -225,3 +225,22 @@ def test_line_dedup_links_all_lines_at_the_similarity(spark):
     gone = {r["doc_id"] for r in line_dedup.duplicate_lines(df).collect()}
     assert len(near) > 30
     assert gone == {i for i, c in comp.items() if c != i}
+
+
+def test_prefix_keys_come_from_all_word_pairs(spark):
+    """Whatever 20 % of a line's words are edited, the line still shares a key with the original, at every length."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.RandomState(5)
+    rows = []
+    for n in range(5, 101):
+        base = [f"w{x}" for x in rng.randint(0, 3000, n)]
+        other = list(base)
+        for at in rng.permutation(n)[: int(0.2 * n + 1e-9)]:
+            other[at] = f"new{at}"
+        rows.append((n, base, other))
+    common = [int(x) for x in rng.randint(0, 256, line_dedup.SKETCH)]
+    keys = lambda c: line_dedup.prefix_keys(line_dedup.hashes_of(F.col(c)), common, 0.8)
+    df = spark.createDataFrame(rows, "n int, a array<string>, b array<string>")
+    assert df.where(~F.arrays_overlap(keys("a"), keys("b"))).count() == 0
+    assert df.where(F.size(F.array_intersect(keys("a"), keys("b"))) > 0).count() == 96
