@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import plans
 from lodestone.functions import text, vectors
 from lodestone.operators import blocks, chunks, filters, flow, grid, jobs, retrieval
 from lodestone.sources import bundle, pages
@@ -148,3 +149,20 @@ def test_flow_and_bundle(spark, tmp_path):
 def test_unknown_table(spark):
     with pytest.raises(ValueError):
         table(spark, "/nowhere", "nothing")
+
+
+def test_evidence_coverage_of_every_source(spark, tmp_path):
+    import re
+
+    texts = ["the red fox ran over the hill", "red fox", "a hill far away", "The red fox ran", None, ""]
+    docs = [(i, texts[i % len(texts)], f"src{i % 5}") for i in range(30)]
+    items = [(1, "the red fox ran far"), (2, "the the the hill"), (3, "nothing known"), (4, "...")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    want = {}
+    for i, t in items:
+        shares = [sum(w in set(words(d)) for w in words(t)) / len(words(t)) if words(t) else 0 for _, d, _ in docs]
+        want[i] = (sum(s >= 0.6 for s in shares), round(max(shares), 6))
+    got = {r["item_id"]: (r["covering"], r["best"]) for r in plans.QUERIES["evidence_coverage_all"](spark, str(tmp_path)).collect()}
+    assert got == want and want[1][0] == 10
