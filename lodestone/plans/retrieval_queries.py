@@ -76,6 +76,21 @@ def dense_search(spark, sf_dir):
     return retrieval.ranked(dense(spark, sf_dir), "doc_id", 10)
 
 
+EVERY = 100  #: the *_all queries ask every row whose id it divides
+
+
+def dense_every(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return retrieval.dense_top(e, asked, "vec_id", most).withColumnRenamed("vec_id", "doc_id")
+
+
+@query("dense_search_all")
+def dense_search_all(spark, sf_dir):
+    """dense_search for a set of queries that grows with the table."""
+    return dense_every(spark, sf_dir, 10)
+
+
 # a lexical branch for the same queries: the documents whose ids are the vectors' ids
 BRANCHES = f"""{POSTINGS},
  asked AS (SELECT DISTINCT doc_id AS query_id, term FROM posts WHERE doc_id < 5),
@@ -95,6 +110,14 @@ def branches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [retrieval.ranked(x, "doc_id", retrieval.depth(10)) for x in (dense(spark, sf_dir), words)]
 
 
+def branches_every(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    posts = retrieval.postings(docs, "doc_id")
+    asked = posts.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), "term")
+    words = retrieval.lexical_scores(posts, asked, "doc_id", docs.count())
+    return [dense_every(spark, sf_dir, retrieval.depth(10)), retrieval.ranked(words, "doc_id", retrieval.depth(10))]
+
+
 RRF = f"""{BRANCHES}, fused AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT query_id, doc_id, 1e0 / (1 + rank) AS s FROM b1 UNION ALL SELECT query_id, doc_id, 1e0 / (1 + rank) FROM b2) GROUP BY ALL)"""
 
 
@@ -128,6 +151,30 @@ def branch_contribution(spark, sf_dir):
     return retrieval.contribution(*branches(spark, sf_dir), "doc_id")
 
 
+# the same for every row whose id EVERY divides; the queries above keep the five of their SQL
+
+
+@query("hybrid_rrf_all")
+def hybrid_rrf_all(spark, sf_dir):
+    return retrieval.ranked(retrieval.fuse_ranks(branches_every(spark, sf_dir), "doc_id"), "doc_id", 10)
+
+
+@query("hybrid_dbsf_all")
+def hybrid_dbsf_all(spark, sf_dir):
+    return retrieval.ranked(retrieval.fuse_distributions(branches_every(spark, sf_dir), "doc_id"), "doc_id", 10)
+
+
+@query("hybrid_weighted_all")
+def hybrid_weighted_all(spark, sf_dir):
+    a, b = branches_every(spark, sf_dir)
+    return retrieval.ranked(retrieval.weighted_sum([(a, 0.7), (b, 0.01)], "doc_id"), "doc_id", 10)
+
+
+@query("branch_contribution_all")
+def branch_contribution_all(spark, sf_dir):
+    return retrieval.contribution(*branches_every(spark, sf_dir), "doc_id")
+
+
 @query("grouped_hits", f"""WITH {LEXICAL}, hits AS (SELECT query_id, source, doc_id, score, {RANK} AS r FROM lexical JOIN documents USING (doc_id)),
  kept AS (SELECT * FROM hits WHERE r <= 40 QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY r) <= 2)
  SELECT query_id, source, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM kept QUALIFY rank <= 10""")

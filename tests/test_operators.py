@@ -166,3 +166,18 @@ def test_evidence_coverage_of_every_source(spark, tmp_path):
         want[i] = (sum(s >= 0.6 for s in shares), round(max(shares), 6))
     got = {r["item_id"]: (r["covering"], r["best"]) for r in plans.QUERIES["evidence_coverage_all"](spark, str(tmp_path)).collect()}
     assert got == want and want[1][0] == 10
+
+
+def test_dense_search_of_every_hundredth_row(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "BLOCK", 64)  # several blocks of rows
+    rng = np.random.RandomState(3)
+    rows = [(i, [float(x) for x in rng.randn(8)], 0) for i in range(700)] + [(1000 + i, [1.0] * 8, 0) for i in range(30)] + [(2000, [0.0] * 8, 0), (2001, None, 0)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 5)) for r in plans.QUERIES["dense_search_all"](spark, str(tmp_path)).collect())
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    want = retrieval.ranked(retrieval.dense_scores(e, asked, "vec_id"), "vec_id", 10).collect()
+    assert got == sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 5)) for r in want)
+    assert {q for q, *_ in got} == {*range(0, 700, 100), 1000}
