@@ -12,9 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_broadcast, written
+from lodestone.llm.common import discard, partitions, written
 
-BROADCAST_KEYS = 2_000_000  #: at most so many bucket keys (8 bytes each) are broadcast; beyond, the join shuffles
 LARGE = 16  #: members from which on a component is swept in blocks
 STARS = 2  #: star rounds before the remaining pairs
 
@@ -36,19 +35,22 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def links(nodes: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], sweep: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def links(nodes: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], sweep: Callable[[DataFrame, DataFrame], DataFrame], prepare: Callable[[DataFrame], None] = lambda nodes: None) -> DataFrame:
     """Confirmed links (a, b) that connect everything which shares a bucket and links, directly or through others.
 
     nodes: (node, keys, trait), with the node's buckets as an array; cheap to compute again. close: a
     condition on two traits (column names) that every link meets; it is part of the joins, so pairs that fail it are never
     rows. confirm: takes distinct pairs (a, b) and returns those that link. sweep: takes (x, comp), nodes to be held against
     all of a large component, and its members (node, comp), and returns links (a, b): one at least for each x that links
-    with a member; the pairs need not be rows.
+    with a member; the pairs need not be rows. prepare: called once, with all nodes (node) that share a bucket with another.
     """
-    buckets = nodes.select(F.explode("keys").alias("key"), "node")
-    full = written(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "full")
-    shared = written(buckets.join(bounded_broadcast(full, full.count(), BROADCAST_KEYS), "key", "left_semi"), "shared")
-    shared = written(shared.join(nodes.select("node", "trait"), "node"), "shared")
+    # dealt out by key once; what counts a bucket's nodes and what keeps them read the same shuffle
+    buckets = nodes.select(F.explode("keys").alias("key"), "node").repartition(partitions(nodes), "key")
+    full = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    keys = written(buckets.join(full.hint("shuffle_hash"), "key", "left_semi"), "shared")
+    shared = written(keys.join(nodes.select("node", "trait"), "node"), "shared")
+    prepare(written(keys.select("node").distinct(), "shared_nodes"))
+    discard(keys)
     found = tried = labels = None
     for turn in range(STARS):
         rows = _labelled(shared, labels)
@@ -62,6 +64,7 @@ def links(nodes: DataFrame, close: Callable[[str, str], Column], confirm: Callab
         pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         new, pairs = _try(pairs, confirm, tried)
         labels = merged(labels, new)
+        discard(hubs)
         found, tried = (new, pairs) if found is None else (found.union(new), tried.union(pairs))
     rows = _labelled(shared, labels)
     if rows is None:
