@@ -192,8 +192,8 @@ def semantic_cuts(spark, sf_dir):
 @query("overlap_seed", "SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS tail FROM conversations QUALIFY tail <= 600")
 def overlap_seed(spark, sf_dir):
     """The trailing turns of a conversation that fit a budget."""
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("tail")).where("tail <= 600")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
+    return chunks.tail_within(turns, ["conv_id"], ["turn"], "size", 600).select("conv_id", "turn", "tail")
 
 
 @query("furniture_groups", f"WITH {LINES}, {RUNS} SELECT doc_id, page, count(*) AS n, string_agg(md5(text), ',' ORDER BY ord) AS texts FROM lines WHERE (doc_id, ord) IN (SELECT * FROM runs) GROUP BY 1, 2")

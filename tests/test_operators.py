@@ -122,6 +122,39 @@ def test_chunkers_lose_nothing(spark):
         chunks.fixed_size(df, 8, 8)
 
 
+def test_spans_against_plain_packing(spark):
+    import random
+
+    rng = random.Random(3)
+    cases = [(k, [(rng.choice([0, 1, 5, 9, 30]), rng.randrange(3)) for _ in range(rng.randrange(1, 25))]) for k in range(60)]
+
+    def plain(items, size, overlap):
+        out, a = [], 0
+        for i in range(1, len(items)):
+            if items[i][1] != items[i - 1][1]:
+                out, a = [*out, (a, i)], i
+            elif sum(n for n, _ in items[a : i + 1]) > size:
+                out.append((a, i))
+                fits = [j for j in range(a + 1, i + 1) if sum(n for n, _ in items[j:i]) <= overlap]
+                a = fits[0] if sum(n for n, _ in items[fits[0] : i + 1]) <= size else i
+        return [*out, (a, len(items))]
+
+    rows = []
+    for k, items in cases:
+        total = 0
+        one = []
+        for n, s in items:
+            total += n
+            one.append((n, total, s))
+        rows.append((k, one))
+    df = spark.createDataFrame(rows, "k int, items array<struct<tokens:int,upto:int,section:int>>")
+    got = {r["k"]: [(x["a"], x["b"]) for x in r["s"]] for r in df.select("k", chunks.size_spans(F.col("items"), 20, 8, True).alias("s")).collect()}
+    assert got == {k: plain(items, 20, 8) for k, items in cases}
+    spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in [(0, 1), (1, 2), (2, 3)]])
+    one = spark.createDataFrame([(1, [(3, 3, 0), (10, 13, 0), (10, 23, 1)])], "k int, items array<struct<tokens:int,upto:int,section:int>>")
+    assert [tuple(x) for x in one.select(chunks.join_small(F.col("items"), spans, 5, 15)).first()[0]] == [(0, 2), (2, 3)]
+
+
 def test_provider_halves_failing_batches(spark):
     def model(texts):
         if any("bad" in t for t in texts):
