@@ -165,13 +165,14 @@ def nearest(df: DataFrame, queries, k: int = K, sample: int = SAMPLE) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p.argmax(axis=1).astype(np.int32))], ["vec_id", "v", "part"])
 
     index = written(vectors.where(F.size("v") == size).mapInArrow(place, "vec_id long, v array<double>, part int"), "vectors")
-    counts = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # one row a part
+    found = index.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids")).collect()  # one row a part
+    counts, distinct = ({r["part"]: r[c] for r in found} for c in ("n", "ids"))
     total = sum(counts.values())
     block = min(32768, max(512, total // 512))
     asked = index.where(queries)
 
     def route(batches):
-        have = np.array([counts.get(i, 0) for i in range(router.parts)])
+        have = np.array([distinct.get(i, 0) for i in range(router.parts)])
         for b in batches:
             p = router.probabilities(_matrix(b.column(1))) if b.num_rows else np.zeros((0, 1))
             out = []
@@ -193,13 +194,18 @@ def nearest(df: DataFrame, queries, k: int = K, sample: int = SAMPLE) -> DataFra
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, qs, x, y, s = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy(), [], [], []
+        repeated = len(np.unique(ids)) < len(ids)
         if len(ids) and len(qs):
             d, w = _matrix(left.column("v")), _matrix(right.column("w"))
             for q, row in zip(qs, w, strict=True):
                 dist = np.sqrt(((d - row) ** 2).sum(axis=1))
                 dist[ids == q] = np.inf
-                m = min(k, len(dist))
-                near = np.flatnonzero(dist <= np.partition(dist, m - 1)[m - 1])
+                if repeated:  # the nearest row of each vec_id, before the cut to k
+                    order = np.lexsort((ids, dist))
+                    near = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+                else:
+                    m = min(k, len(dist))
+                    near = np.flatnonzero(dist <= np.partition(dist, m - 1)[m - 1])
                 near = near[np.isfinite(dist[near])]
                 near = near[np.lexsort((ids[near], dist[near]))][:k]
                 x += [q] * len(near)

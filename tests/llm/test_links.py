@@ -163,6 +163,18 @@ def test_neighbours(spark):
     assert [r["rank"] for r in few] == [1, 2, 3, 4] and neighbours.nearest(df.where("vec_id < 0"), "vec_id % 100 = 0").count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Thirty rows of one vec_id near the query take one place only."""
+    rng = np.random.RandomState(1)
+    v = [(i, [float(x) for x in rng.randn(8)]) for i in range(40)]
+    rows = v + [(7, v[0][1])] * 30 + v[:20]
+    got = {r["rank"]: r["vec_id"] for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id = 0").collect()}
+    m = np.array([x for _, x in v])
+    d = np.sqrt(((m - m[0]) ** 2).sum(axis=1))
+    d[7], d[0] = 0, np.inf
+    assert [got[i] for i in range(1, 11)] == list(np.lexsort((np.arange(40), d))[:10])
+
+
 def test_pipeline(spark, tmp_path):
     text = " ".join(f"x{i}" for i in range(40))
     near = text.replace("x20 ", "y20 ")
