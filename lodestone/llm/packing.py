@@ -48,8 +48,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        # the tokenizer takes its added tokens out of a text before anything else
+        self.special = {t.content: int(i).to_bytes(4, "little") for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self._special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = iter(range(256, 512))
@@ -73,6 +75,11 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if len(self.known) > CACHE:
             self.known.clear()
+        if self._special and self._special.search(text):
+            return b"".join(self.special.get(x) or self._plain(x) for x in self._special.split(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not self._odd.search(text):
             return self._latin(text)
         return b"".join(np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() if self._odd.search(c) else self._latin(c) for c in text.split(" "))
