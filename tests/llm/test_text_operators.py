@@ -181,6 +181,59 @@ def test_pii_bootstraps_from_contexts(spark):
     assert pii.detect(docs(spark, []), ["doc_id"]).count() == 0
 
 
+def plain_bootstrap(texts):
+    """The confident patterns, by plain counting over all words of all texts."""
+    strip = lambda w: w.strip(pii._MARKS)
+    uses, places, seeds = {}, {}, set()
+    for t in texts:
+        base = {t[s:e] for _, s, e in plain_spans(t)}
+        words = t.split()
+        for i in range(1, len(words)):
+            low = [w.lower() for w in words]
+            around = [" ".join(low[i - k : i]) for k in (2, 3) if i >= k] + [low[i - 1]] * (low[i - 1][-1] in ":=#") + [f"{low[i - 1]} _ {x}" for x in low[i + 1 : i + 2]]
+            token = strip(words[i])
+            for p in around:
+                places[p] = places.get(p, 0) + 1
+                if token in base or len(token) >= 6 and re.search("[0-9]", token):
+                    uses.setdefault(p, []).append(token)
+            seeds |= {token} & base
+    sure = {x: 1.0 for x in seeds}
+    while True:
+        good = {}
+        for p, tokens in uses.items():
+            c = sum(sure.get(x, 0.0) for x in tokens) / places[p]
+            if c >= pii.CONFIDENCE and len({x for x in tokens if sure.get(x, 0.0) >= pii.CONFIDENCE}) >= pii.MIN_SEEDS:
+                good[p] = min(1.0, c)
+        new = {x: 1.0 for x in seeds}
+        for x in {x for tokens in uses.values() for x in tokens} - seeds:
+            miss = np.prod([1 - min(0.999, c) for p, c in good.items() if x in uses[p]])
+            new[x] = 1 - miss
+        if set(good) == getattr(plain_bootstrap, "last", None):
+            return good
+        plain_bootstrap.last, sure = set(good), new
+
+
+def test_pii_second_round_finds_what_the_first_cannot(spark):
+    texts = [f"please reach me: user{i}@mail.example.com today" for i in range(24)]
+    texts += [f"please reach me: kd77ab{i} today" for i in range(5)]  # sure after the first round
+    texts += [f"entrance badge kd77ab{i} opens doors" for i in range(5)] + ["entrance badge zz90441 opens windows"]  # the second round's pattern
+    texts += ["see figure 20240101x there", "see figure 20240102x there", "see figure 20240103x there", "no number"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.detect(docs(spark, rows), ["doc_id"]).collect()}
+    assert got[34] == [("id", 15, 22)] and got[30] and got[35] == []
+    confident = {r["pattern"]: r["confidence"] for r in pii.learn_patterns(docs(spark, rows)).collect()}
+    want = plain_bootstrap(texts)
+    assert set(confident) == set(want) and all(abs(confident[p] - want[p]) < 1e-9 for p in want)
+    assert "entrance badge" in confident
+
+
+def test_pii_patterns_in_several_passes(spark, monkeypatch):
+    rows = [(i, f"please reach me: user{i}@mail.example.com or id: 9{i}aab77 today 1.2.3.4") for i in range(12)]
+    want = sorted((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in pii.detect(docs(spark, rows), ["doc_id"]).collect())
+    monkeypatch.setattr(pii, "PATTERNS_AT_ONCE", 2)
+    assert sorted((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in pii.detect(docs(spark, rows), ["doc_id"]).collect()) == want
+
+
 def test_pii_mask(spark):
     from pyspark.sql import functions as F
 
@@ -220,12 +273,11 @@ def test_language(spark):
 
 def test_packing_pieces_and_plan(spark):
     rng = np.random.RandomState(2)
-    rows = [*ROWS, *[(100 + i, "word " * int(n)) for i, n in enumerate(rng.randint(0, 40, 60))]]
+    rows = [*ROWS, (90, "two <|endoftext|>texts<|startoftext|> <|ENDOFTEXT|> \u00e9<|endoftext|"), *[(100 + i, "word " * int(n)) for i, n in enumerate(rng.randint(0, 40, 60))]]
     out = packing.pack(docs(spark, rows), packing.word_tokenizer(), capacity=32).collect()
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.word_tokenizer())
-    t.encode_special_tokens = True
     want = sorted((i is not None, i or 0, k // 32, k, min(32, n - k)) for i, text in rows for n in [len(t.encode(text or "", add_special_tokens=False).ids) + 1] for k in range(0, n, 32))
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["piece"], r["start"], r["length"]) for r in out) == want
     seqs = {}
@@ -276,3 +328,12 @@ def test_plan_is_optimal_on_small_inputs():
                 used[x] = used.get(x, 0) + n * times
         assert used == hist and sum(t for t, _ in p) == exact_bins(items, 30), items
     assert packing.plan({}, 30) == []
+
+
+def test_special_tokens_get_their_ids():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(packing.word_tokenizer()), packing.Encoder(packing.word_tokenizer())
+    for text in ("<|endoftext|>", "a<|endoftext|> b <|startoftext|>c", "\u4e2d<|endoftext|>\u6587", "<|endoftext|", "x <|EndOfText|> y"):
+        assert np.frombuffer(e(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
