@@ -62,38 +62,31 @@ def bm25_search(spark, sf_dir):
 
 DENSE = """dense AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
   / (sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) * sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))), 6) AS score
-  FROM embeddings a, embeddings b WHERE a.vec_id < 5)"""
+  FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"""
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return retrieval.dense_scores(e, asked, "vec_id").withColumnRenamed("vec_id", "doc_id")
-
-
-@query("dense_search", f"WITH {DENSE} SELECT query_id, doc_id, score, {RANK} AS rank FROM dense QUALIFY rank <= 10")
-def dense_search(spark, sf_dir):
-    return retrieval.ranked(dense(spark, sf_dir), "doc_id", 10)
-
+EVERY = 100  #: the queries are the rows whose id it divides, so they grow with the table
 
-EVERY = 100  #: the *_all queries ask every row whose id it divides
 
-
-def dense_every(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+def dense(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    """The `most` best of each query, ranked, in blocks."""
     e = table(spark, sf_dir, "embeddings")
     asked = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.dense_top(e, asked, "vec_id", most).withColumnRenamed("vec_id", "doc_id")
 
 
-@query("dense_search_all")
-def dense_search_all(spark, sf_dir):
-    """dense_search for a set of queries that grows with the table."""
-    return dense_every(spark, sf_dir, 10)
+DENSE_SEARCH = f"WITH {DENSE} SELECT query_id, doc_id, score, {RANK} AS rank FROM dense QUALIFY rank <= 10"
+
+
+@query("dense_search", DENSE_SEARCH)
+@query("dense_search_all", DENSE_SEARCH)
+def dense_search(spark, sf_dir):
+    return dense(spark, sf_dir, 10)
 
 
 # a lexical branch for the same queries: the documents whose ids are the vectors' ids
 BRANCHES = f"""{POSTINGS},
- asked AS (SELECT DISTINCT doc_id AS query_id, term FROM posts WHERE doc_id < 5),
+ asked AS (SELECT DISTINCT doc_id AS query_id, term FROM posts WHERE doc_id % 100 = 0),
  n AS (SELECT count(*) AS total FROM documents),
  weights AS (SELECT term, ln(1 + (total - count(DISTINCT doc_id) + 0.5e0) / (count(DISTINCT doc_id) + 0.5e0)) AS idf FROM posts, n GROUP BY term, total),
  lexical AS (SELECT query_id, doc_id, round(sum(weight * idf), 6) AS score FROM asked JOIN posts USING (term) JOIN weights USING (term) GROUP BY ALL),
@@ -103,25 +96,21 @@ BRANCHES = f"""{POSTINGS},
 
 
 def branches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    posts = retrieval.postings(docs, "doc_id")
-    asked = posts.where("doc_id < 5").select(F.col("doc_id").alias("query_id"), "term")
-    words = retrieval.lexical_scores(posts, asked, "doc_id", docs.count())
-    return [retrieval.ranked(x, "doc_id", retrieval.depth(10)) for x in (dense(spark, sf_dir), words)]
-
-
-def branches_every(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     docs = table(spark, sf_dir, "documents")
     posts = retrieval.postings(docs, "doc_id")
     asked = posts.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), "term")
     words = retrieval.lexical_scores(posts, asked, "doc_id", docs.count())
-    return [dense_every(spark, sf_dir, retrieval.depth(10)), retrieval.ranked(words, "doc_id", retrieval.depth(10))]
+    return [dense(spark, sf_dir, retrieval.depth(10)), retrieval.ranked(words, "doc_id", retrieval.depth(10))]
 
 
 RRF = f"""{BRANCHES}, fused AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT query_id, doc_id, 1e0 / (1 + rank) AS s FROM b1 UNION ALL SELECT query_id, doc_id, 1e0 / (1 + rank) FROM b2) GROUP BY ALL)"""
 
 
-@query("hybrid_rrf", f"WITH {RRF} SELECT query_id, doc_id, score, {RANK} AS rank FROM fused QUALIFY rank <= 10")
+HYBRID_RRF_SQL = f"WITH {RRF} SELECT query_id, doc_id, score, {RANK} AS rank FROM fused QUALIFY rank <= 10"
+
+
+@query("hybrid_rrf", HYBRID_RRF_SQL)
+@query("hybrid_rrf_all", HYBRID_RRF_SQL)
 def hybrid_rrf(spark, sf_dir):
     return retrieval.ranked(retrieval.fuse_ranks(branches(spark, sf_dir), "doc_id"), "doc_id", 10)
 
@@ -129,50 +118,38 @@ def hybrid_rrf(spark, sf_dir):
 _DBSF = "CASE WHEN stddev_samp(score) OVER w > 0 THEN (score - (avg(score) OVER w - 3 * stddev_samp(score) OVER w)) / (6 * stddev_samp(score) OVER w) ELSE 0.5e0 END"
 
 
-@query("hybrid_dbsf", f"""WITH {BRANCHES}, fused AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (
+HYBRID_DBSF_SQL = f"""WITH {BRANCHES}, fused AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (
   SELECT query_id, doc_id, {_DBSF} AS s FROM b1 WINDOW w AS (PARTITION BY query_id) UNION ALL
   SELECT query_id, doc_id, {_DBSF} FROM b2 WINDOW w AS (PARTITION BY query_id)) GROUP BY ALL)
- SELECT query_id, doc_id, score, {RANK} AS rank FROM fused QUALIFY rank <= 10""")
+ SELECT query_id, doc_id, score, {RANK} AS rank FROM fused QUALIFY rank <= 10"""
+
+
+@query("hybrid_dbsf", HYBRID_DBSF_SQL)
+@query("hybrid_dbsf_all", HYBRID_DBSF_SQL)
 def hybrid_dbsf(spark, sf_dir):
     return retrieval.ranked(retrieval.fuse_distributions(branches(spark, sf_dir), "doc_id"), "doc_id", 10)
 
 
-@query("hybrid_weighted", f"""WITH {BRANCHES}, fused AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (
+HYBRID_WEIGHTED_SQL = f"""WITH {BRANCHES}, fused AS (SELECT query_id, doc_id, round(sum(s), 8) AS score FROM (
   SELECT query_id, doc_id, score * 0.7e0 AS s FROM b1 UNION ALL SELECT query_id, doc_id, score * 0.01e0 FROM b2) GROUP BY ALL)
- SELECT query_id, doc_id, score, {RANK} AS rank FROM fused QUALIFY rank <= 10""")
+ SELECT query_id, doc_id, score, {RANK} AS rank FROM fused QUALIFY rank <= 10"""
+
+
+@query("hybrid_weighted", HYBRID_WEIGHTED_SQL)
+@query("hybrid_weighted_all", HYBRID_WEIGHTED_SQL)
 def hybrid_weighted(spark, sf_dir):
     a, b = branches(spark, sf_dir)
     return retrieval.ranked(retrieval.weighted_sum([(a, 0.7), (b, 0.01)], "doc_id"), "doc_id", 10)
 
 
-@query("branch_contribution", f"""WITH {BRANCHES} SELECT query_id, count(*) FILTER (b1.doc_id IS NOT NULL AND b2.doc_id IS NOT NULL) AS n_both,
- count(*) FILTER (b2.doc_id IS NULL) AS n_dense, count(*) FILTER (b1.doc_id IS NULL) AS n_lexical FROM b1 FULL JOIN b2 USING (query_id, doc_id) GROUP BY query_id""")
-def branch_contribution(spark, sf_dir):
-    return retrieval.contribution(*branches(spark, sf_dir), "doc_id")
-
-
-# the same for every row whose id EVERY divides; the queries above keep the five of their SQL
-
+BRANCH_CONTRIBUTION_SQL = f"""WITH {BRANCHES} SELECT query_id, count(*) FILTER (b1.doc_id IS NOT NULL AND b2.doc_id IS NOT NULL) AS n_both,
+ count(*) FILTER (b2.doc_id IS NULL) AS n_dense, count(*) FILTER (b1.doc_id IS NULL) AS n_lexical FROM b1 FULL JOIN b2 USING (query_id, doc_id) GROUP BY query_id"""
 
-@query("hybrid_rrf_all")
-def hybrid_rrf_all(spark, sf_dir):
-    return retrieval.ranked(retrieval.fuse_ranks(branches_every(spark, sf_dir), "doc_id"), "doc_id", 10)
 
-
-@query("hybrid_dbsf_all")
-def hybrid_dbsf_all(spark, sf_dir):
-    return retrieval.ranked(retrieval.fuse_distributions(branches_every(spark, sf_dir), "doc_id"), "doc_id", 10)
-
-
-@query("hybrid_weighted_all")
-def hybrid_weighted_all(spark, sf_dir):
-    a, b = branches_every(spark, sf_dir)
-    return retrieval.ranked(retrieval.weighted_sum([(a, 0.7), (b, 0.01)], "doc_id"), "doc_id", 10)
-
-
-@query("branch_contribution_all")
-def branch_contribution_all(spark, sf_dir):
-    return retrieval.contribution(*branches_every(spark, sf_dir), "doc_id")
+@query("branch_contribution", BRANCH_CONTRIBUTION_SQL)
+@query("branch_contribution_all", BRANCH_CONTRIBUTION_SQL)
+def branch_contribution(spark, sf_dir):
+    return retrieval.contribution(*branches(spark, sf_dir), "doc_id")
 
 
 @query("grouped_hits", f"""WITH {LEXICAL}, hits AS (SELECT query_id, source, doc_id, score, {RANK} AS r FROM lexical JOIN documents USING (doc_id)),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone import plans
 from lodestone.functions import text, vectors
-from lodestone.operators import blocks, chunks, filters, flow, grid, jobs, retrieval
+from lodestone.operators import assemble, blocks, chunks, filters, flow, grid, jobs, retrieval, schema
 from lodestone.sources import bundle, pages
 from lodestone.sources.tables import table
 
@@ -214,3 +214,45 @@ def test_dense_search_of_every_hundredth_row(spark, tmp_path, monkeypatch):
     want = retrieval.ranked(retrieval.dense_scores(e, asked, "vec_id"), "vec_id", 10).collect()
     assert got == sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 5)) for r in want)
     assert {q for q, *_ in got} == {*range(0, 700, 100), 1000}
+
+
+def test_contracts(spark):
+    rows = [({"a": "1", "b": "x", "z": "?"},), ({"a": "no", "b": "Y"},), ({},), (None,)]
+    df = spark.createDataFrame(rows, "m map<string,string>")
+    got = [r[0] for r in df.select(schema.metadata_errors("m", ["a"], {"a": "int"}, {"b": ["x"]})).collect()]
+    assert got[:3] == [["z is unknown"], ["a is no int", "b is none of its values"], ["a is required"]]
+    old = spark.createDataFrame([("a", "int", True), ("b", "int", False), ("c", "int", False)], "field string, type string, searchable boolean")
+    new = spark.createDataFrame([("a", "text", True), ("d", "int", False), ("e", "int", True)], "field string, type string, searchable boolean")
+    renames = spark.createDataFrame([("b", "d")], "was string, field string")
+    diff = schema.schema_diff(old, new, renames)
+    values = spark.createDataFrame([("c",), ("c",), ("a",)], "field string")
+    assert sorted(tuple(r) for r in schema.schema_effects(diff, values).fillna("-").collect()) == [("a", "modified", "-", "type", 0, True), ("c", "removed", "-", "", 2, False), ("d", "renamed", "b", "", 0, False), ("e", "added", "-", "", 0, True)]
+    gate = schema.regression_gate(spark.createDataFrame([("x", 0.5), ("y", 0.2)], "metric string, value double"), spark.createDataFrame([("x", 0.55), ("y", 0.3), ("w", 1.0)], "metric string, value double"), ["x", "y", "w"])
+    assert {r["metric"]: r["failed"] for r in gate.collect()} == {"x": False, "y": True, "w": True}
+
+
+def test_page_selectors():
+    assert assemble.page_numbers("5,7-9, 8", 9) == [5, 7, 8, 9]
+    for bad in ("", "0", "3-2", "8-10", "a", "1-"):
+        with pytest.raises(ValueError):
+            assemble.page_numbers(bad, 9)
+
+
+def test_grid_payload_and_points(spark):
+    import uuid
+
+    df = spark.createDataFrame([([["a", "b|c"], ["d\ne"]],), ([],), (None,)], "c array<array<string>>")
+    assert [r[0] for r in df.select(assemble.markdown_grid("c")).collect()] == ["| a | b\\|c |\n| --- | --- |\n| d e |  |", None, None]
+    page = '{"page": 2, "width": 10, "height": 20, "blocks": [{"label": "Title", "bbox": [5, 0, 1, 30], "text": "t"}, {"label": "?", "bbox": null, "text": null}]}'
+    got = assemble.sidecar_blocks(spark.createDataFrame([(1, page), (2, None), (3, "{bad")], "k int, p string"), "k", "p").where("k = 1").orderBy("ord").collect()
+    assert [(r["block_type"], [round(x, 6) for x in r["box"]]) for r in got] == [("heading", [0.1, 0.0, 0.5, 1.0]), ("paragraph", [0.0, 0.0, 1.0, 1.0])]
+    names = ["a:1", "é", ""]
+    ids = spark.createDataFrame([(n,) for n in names], "n string").select(assemble.point_id(str(uuid.NAMESPACE_URL), "n")).collect()
+    assert [r[0] for r in ids] == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
+
+
+def test_rerank_degrades_to_fusion_order(spark):
+    hits = spark.createDataFrame([(1, 10, 0.9, 1, 0.1), (1, 11, 0.8, 2, 0.7), (2, 10, 0.9, 1, None), (2, 11, 0.8, 2, 0.7)], "query_id int, doc_id int, score double, rank int, new double")
+    got = [(r["query_id"], r["doc_id"], r["fusion_score"], r["score"]) for r in assemble.reranked(hits, F.col("new"), 2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 11, 0.8, 0.7), (1, 10, 0.9, 0.1), (2, 10, 0.9, 0.9), (2, 11, 0.8, 0.8)]
+    assert retrieval.score_kind(["dense"]) == "raw_dense" and retrieval.score_kind(["dense", "sparse"], "dbsf") == "dbsf_fusion"
