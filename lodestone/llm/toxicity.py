@@ -4,11 +4,12 @@ The grammar's words are lexicon entries of five classes: insults, threats, targe
 reported speech. Insult entries are learned: words and word stems that training texts marked toxic use far more than others,
 weighted by their log odds; a small closed list gives the other classes and a few insults to start from.
 
-A clause is read by transducers in turn, each a small automaton over word classes: negation (a negated insult or threat
+The grammar is made of transducers, each a small automaton over word classes: negation (a negated insult or threat
 within a few words loses most of its weight), reported speech (what follows a reporting word counts less), threat (threat
-verb, then target), and insult (an insult's weight, more beside a target). Their composition leaves weighted matches;
-a document's score is a logistic function, fitted on training texts, of its matches' sum, its strongest clause and the
-share of its words that match.
+verb, then target), and insult (an insult's weight, more beside a target). They are composed into one automaton, which
+reads each clause once and gives each match its weight. A document's score is a logistic function, fitted on training
+texts, of its matches' sum, its strongest clause, and their number and share of the words, all as the grammar weighs
+them; weights below zero are not allowed, so a match that the grammar weighs down never raises the score.
 
 Defined cases: null and empty texts have no matches and get the score of a text without matches. Documents without a label
 take no part in learning; without any usable label the closed list alone scores. Repeated rows give a row each (a repeated
@@ -30,7 +31,7 @@ STEMS = (4, 5, 6, 7, 8)  #: lengths of word stems that may become entries
 MIN_DOCS, MIN_ODDS = 5, 2.0  #: an entry's toxic training texts, and its log odds, at least
 PRIOR_TEXTS = 2.0  #: texts, toxic at the usual rate, that each entry is taken to have besides its own
 THRESHOLD = 0.3
-MAX_ENTRIES = 20_000
+MAX_ENTRIES = 20_000  #: learned entries at most, those of most toxic training texts first (part of the fitted model, like SAMPLE)
 
 # Closed word classes of the grammar.
 TARGETS = set("you your you're youre u he she they them him her his their".split())
@@ -80,46 +81,68 @@ AIMED = {"plain": {"target": ("aimed", 1.0)}, "aimed": {"insult": ("aimed", 1.3)
 GRAMMAR = (NEGATION, REPORTED, THREAT, AIMED)
 
 
-def clause_score(symbols: list[tuple[str, float]]) -> tuple[float, int]:
-    """Weight and number of matches of one clause: the product of all transducers' factors for each insult or threat."""
-    states = ["plain"] * len(GRAMMAR)
-    total, n = 0.0, 0
+CLASSES = ("insult", "threat", "target", "negation", "reporting", "other")
+
+
+def compose(grammar: tuple[dict, ...]) -> list[dict[str, tuple[int, float]]]:
+    """One automaton for all transducers: by state, what each class leads to and the product of their factors. State 0 starts."""
+    numbers = {("plain",) * len(grammar): 0}
+    table: list[dict[str, tuple[int, float]]] = []
+    todo = list(numbers)
+    for states in todo:
+        row = {}
+        for kind in CLASSES:
+            steps = [t[x].get(kind, (x, 1.0)) for t, x in zip(grammar, states, strict=True)]
+            to = tuple(x for x, _ in steps)
+            if to not in numbers:
+                numbers[to] = len(numbers)
+                todo.append(to)
+            row[kind] = (numbers[to], math.prod(f for _, f in steps))
+        table.append(row)
+    return table
+
+
+AUTOMATON = compose(GRAMMAR)
+
+
+def clause_score(symbols: list[tuple[str, float]], automaton: list[dict] = AUTOMATON) -> tuple[float, float, int]:
+    """Weight of one clause, how much of a match its matches are together (a whole one each at most), and their number."""
+    state = 0
+    total, hits, n = 0.0, 0.0, 0
     for kind, weight in symbols:
-        factor = 1.0
-        for i, t in enumerate(GRAMMAR):
-            states[i], f = t[states[i]].get(kind, (states[i], 1.0))
-            factor *= f
-        if kind in ("insult", "threat"):
+        state, factor = automaton[state][kind]
+        if kind == "insult" or kind == "threat":
             total += weight * factor
-            n += kind == "insult" or factor > 1
-    return total, n
+            if kind == "insult" or factor > 1:
+                hits += min(1.0, factor)
+                n += 1
+    return total, hits, n
 
 
-def matches(text: str, lexicon: Lexicon) -> tuple[float, float, float, int]:
-    """Sum over clauses, strongest clause, share of matched words, matches."""
+def matches(text: str, lexicon: Lexicon, automaton: list[dict] = AUTOMATON) -> tuple[float, float, float, float, int]:
+    """Sum over clauses, strongest clause, share of matched words, matches as the grammar weighs them, and their number."""
     words = text.split()
     look = lexicon.look
     found = [look(w) for w in words]
     if not any(c and c[0] in ("insult", "threat") for c in found):
-        return 0.0, 0.0, 0.0, 0
-    total, top, n, clause = 0.0, 0.0, 0, []
+        return 0.0, 0.0, 0.0, 0.0, 0
+    total, top, hits, n, clause = 0.0, 0.0, 0.0, 0, []
     for w, c in zip(words, found, strict=True):
         clause.append(c or ("other", 0.0))
         if w.endswith(ENDS):
-            s, k = clause_score(clause)
-            total, top, n, clause = total + s, max(top, s), n + k, []
-    s, k = clause_score(clause)
-    total, top, n = total + s, max(top, s), n + k
-    return total, top, n / max(1, len(words)), n
+            s, h, k = clause_score(clause, automaton)
+            total, top, hits, n, clause = total + s, max(top, s), hits + h, n + k, []
+    s, h, k = clause_score(clause, automaton)
+    hits += h
+    return total + s, max(top, s), hits / len(words), hits, n + k
 
 
-def features(m: tuple[float, float, float, int]) -> list[float]:
-    total, top, share, n = m
-    return [1.0, math.log1p(total), math.log1p(top), min(1.0, 50 * share), min(n, 3) / 3]
+def features(m: tuple[float, float, float, float, int]) -> list[float]:
+    total, top, share, hits, _ = m
+    return [1.0, math.log1p(total), math.log1p(top), min(1.0, 50 * share), min(hits, 3) / 3]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
+def _newton(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -132,6 +155,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     return w
 
 
+def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; features (all but the first, constant one) whose weight would be below
+    zero are left out, the lowest first."""
+    used = list(range(x.shape[1]))
+    while True:
+        w = _newton(x[:, used], y)
+        low = int(np.argmin(w[1:])) + 1 if len(w) > 1 else 0
+        if not low or w[low] >= 0:
+            out = np.zeros(x.shape[1])
+            out[used] = w
+            return out
+        del used[low]
+
+
 PRIOR = np.array([-4.0, 2.0, 1.0, 1.0, 3.0])  #: weights of the logistic function where nothing can be fitted
 
 
@@ -196,7 +233,7 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, keep: list[str
             m = [matches(t or "", own) for t in b.column(at).to_pylist()]
             z = np.array([features(x) for x in m]).reshape(-1, len(w)) @ w
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s), pa.array([x[3] for x in m], pa.int64())], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s), pa.array([x[4] for x in m], pa.int64())], [*keep, *names])
 
     at = keep.index("text") if "text" in keep else len(keep)
     return docs.select(*keep, *([] if at < len(keep) else [F.col("text").alias(free_name(docs, "__text"))])).mapInArrow(run, schema)

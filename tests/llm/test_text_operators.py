@@ -243,12 +243,34 @@ def test_pii_mask(spark):
     assert got[1].startswith("x <EMAIL> and <IP>, <PHONE>") and "4111" not in got[1] and got[2] is None and got[3] == "none" and got[4] == "<EMAIL>"
 
 
+def test_composed_automaton_equals_transducers_in_turn():
+    rng = np.random.RandomState(8)
+    for _ in range(500):
+        symbols = [(toxicity.CLASSES[i], 2.0) for i in rng.randint(0, len(toxicity.CLASSES), rng.randint(0, 15))]
+        states, total = ["plain"] * len(toxicity.GRAMMAR), 0.0
+        for kind, weight in symbols:
+            factor = 1.0
+            for i, t in enumerate(toxicity.GRAMMAR):
+                states[i], f = t[states[i]].get(kind, (states[i], 1.0))
+                factor *= f
+            total += weight * factor * (kind in ("insult", "threat"))
+        assert abs(toxicity.clause_score(symbols)[0] - total) < 1e-9
+
+
+def test_logistic_weights_are_not_below_zero():
+    rng = np.random.RandomState(9)
+    x = np.column_stack([np.ones(400), rng.rand(400, 3)])
+    y = (x[:, 1] - x[:, 2] + 0.1 * rng.randn(400) > 0).astype(float)
+    w = toxicity.fit_logistic(x, y)
+    assert w[1] > 0 and w[2] == 0 and (w[1:] >= 0).all()
+
+
 def test_toxicity_grammar_and_learning(spark):
     lex = toxicity.Lexicon({"idiot": 4.0}, {"scumb": 3.0})
     score = lambda t: toxicity.matches(t, lex)[0]
     assert score("you idiot") > score("an idiot") > score("he said idiot") > score("not an idiot") > 0 == score("nice day")
     assert score("i will kill you") == 0 or score("i will kill you") < score("you will kill")
-    assert toxicity.matches("scumbags.", lex)[3] == 1
+    assert toxicity.matches("scumbags.", lex)[4] == 1
     rows = [(i, f"some clean words number{i} here") for i in range(60)] + [(100 + i, f"some grubly words grublyfied number{i}") for i in range(40)] + [(200, None), (201, "")]
     labels = spark.createDataFrame([(i, 0, 1) for i in range(60)] + [(100 + i, 1, 1) for i in range(40)] + [(None, 1, 1), (3, None, 1)], "doc_id long, toxic int, quality int")
     model = toxicity.learn(toxicity.labelled(docs(spark, rows), labels))
@@ -337,3 +359,21 @@ def test_special_tokens_get_their_ids():
     t, e = Tokenizer.from_file(packing.word_tokenizer()), packing.Encoder(packing.word_tokenizer())
     for text in ("<|endoftext|>", "a<|endoftext|> b <|startoftext|>c", "\u4e2d<|endoftext|>\u6587", "<|endoftext|", "x <|EndOfText|> y"):
         assert np.frombuffer(e(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_long_words_equal_tiktoken():
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rank = {t: i for i, t in enumerate(bpe.load_ranks(path))}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=rank, special_tokens={})
+    rng = np.random.RandomState(6)
+    for n in (1, 2, 65, 300, 4000, 20_000):
+        for letters in ("a", "ab", "abcdefghijklmnopqrstuvwxyz"):
+            w = "".join(rng.choice(list(letters), n))
+            assert bpe.merge_long(w.encode(), rank) == plain.encode_ordinary(w)
+    many = "".join(rng.choice(list("etaoinshrdlu"), 1 << 20))
+    ids = bpe.merge_long(many.encode(), rank)
+    tokens = bpe.load_ranks(path)
+    assert b"".join(tokens[i] for i in ids) == many.encode()
