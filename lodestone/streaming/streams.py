@@ -19,7 +19,11 @@ RANKS = {"view": 0, "click": 1, "error": 2, "signup": 3, "purchase": 4}  #: the
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")  # one machine, as in tests
     return f"{base}/lodestone/stream-{uuid.uuid4().hex}"
 
 
