@@ -11,7 +11,8 @@ from lodestone.functions.text import normalize
 # Titles of tables of contents, and phrases of page chrome.
 TOC_TITLES = ("contents", "table of contents", "summary", "sommaire", "table des matières", "index")
 CHROME_PHRASES = ("skip to content", "accept cookies", "cookie policy", "privacy policy", "terms of use", "all rights reserved", "sign in", "log in", "subscribe", "share this page", "back to top")
-SEPARATORS = r"\s*[|•·›»/]\s*"
+WIDGETS = ("search", "rechercher", "filter by", "sort by", "trier par")  #: what short search widgets begin with
+SEPARATORS = r"\s*[|•·›»]\s*"
 
 
 def paragraphs(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,21 +27,20 @@ def repeated_texts(blocks: DataFrame, pages: int = 3) -> DataFrame:
 
 
 def is_chrome(text: str) -> Column:
-    """One block of page chrome: a known phrase in few words, or a row of short labels between separators."""
-    norm = normalize(text)
-    n = F.size(F.split(norm, " "))
-    phrase = F.lit(False)
-    for p in CHROME_PHRASES:
-        phrase = phrase | norm.contains(p)
-    parts = F.split(F.trim(text), SEPARATORS)
-    short = F.filter(parts, lambda x: F.size(F.split(F.trim(x), r"\s+")) <= 4)
-    labels = (F.size(parts) >= 4) & (n <= 40) & (F.size(short) >= 0.75 * F.size(parts))
-    return (phrase & (n <= 6)) | labels
+    """One block of page chrome: a known phrase and nothing else, a search widget in few words, or a row of short labels
+    between separators (of which a slash is none: dates and paths have it)."""
+    norm = F.regexp_replace(normalize(text), r"[\s.!?:;…]+$", "")
+    words = lambda c: F.size(F.split(F.trim(c), r"\s+"))
+    widget = (words(norm) <= 6) & F.regexp_like(norm, F.lit(rf"^({'|'.join(WIDGETS)})\b"))
+    parts = F.filter(F.split(text, SEPARATORS), lambda x: F.trim(x) != "")
+    short = F.filter(parts, lambda x: words(x) <= 4)
+    labels = (F.size(parts) >= 4) & (words(text) <= 40) & (F.size(short) >= 0.75 * F.size(parts))
+    return norm.isin(*CHROME_PHRASES) | widget | labels
 
 
 def label_like(text: str) -> Column:
-    """Short, without a sentence's end: what menus are made of."""
-    return (F.size(F.split(F.trim(text), r"\s+")) <= 4) & ~F.trim(text).rlike(r"[.!?:;]$")
+    """What menus are made of: a few words, or chrome by itself."""
+    return (F.size(F.split(F.trim(text), r"\s+")) <= 4) | is_chrome(text)
 
 
 def chrome_runs(blocks: DataFrame, least: int = 3) -> DataFrame:

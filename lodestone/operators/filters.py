@@ -43,6 +43,10 @@ def errors(filters: dict, kinds: dict[str, str]) -> list[str]:
                 out.append(f"{field}: {op} does not apply to {kind}")
             elif op in ("in", "not_in") and not (isinstance(value, list) and 0 < len(value) <= MOST_VALUES):
                 out.append(f"{field}: {op} takes 1 to {MOST_VALUES} values")
+            elif op in ("contains", "prefix") and not (isinstance(value, str) and value.strip()):
+                out.append(f"{field}: {op} takes a text that is not blank")
+            elif value is None or any(x is None or isinstance(x, (dict, list)) for x in (value if isinstance(value, list) else [value])):
+                out.append(f"{field}: {op} takes no null and nothing nested")
             elif op in BOUNDS and isinstance(value, bool):
                 out.append(f"{field}: {op} takes no boolean")
             elif op == "exists" and not isinstance(value, bool):

@@ -57,14 +57,19 @@ def language_detect(spark, sf_dir):
 
 
 LINES = "lines AS (SELECT doc_id, (i - 1)::INTEGER AS ord, ((i - 1) // 10)::INTEGER AS page, l AS text, trim(regexp_replace(lower(l), '\\s+', ' ', 'g')) AS norm FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(l) <> '')"
-_LABEL = "len(regexp_split_to_array(trim(text), '\\s+')) <= 4 AND NOT regexp_matches(trim(text), '[.!?:;]$')"
+_PARTS = f"list_filter(regexp_split_to_array(text, '{blocks.SEPARATORS}'), lambda x: trim(x) <> '')"
+_COUNT = "len(regexp_split_to_array(trim({}), '\\s+'))"
+_NORM = "regexp_replace(norm, '[\\s.!?:;…]+$', '')"
+_CHROME = f"""({_NORM} IN ({', '.join(repr(p) for p in blocks.CHROME_PHRASES)}) OR ({_COUNT.format(_NORM)} <= 6 AND regexp_matches({_NORM}, '^({'|'.join(blocks.WIDGETS)})\\b'))
+ OR (len({_PARTS}) >= 4 AND {_COUNT.format('text')} <= 40 AND len(list_filter({_PARTS}, lambda x: {_COUNT.format('x')} <= 4)) >= 0.75 * len({_PARTS})))"""
+_LABEL = f"({_COUNT.format('text')} <= 4 OR {_CHROME})"
 RUNS = f"""marked AS (SELECT doc_id, ord, {_LABEL} AS label FROM lines), isl AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - row_number() OVER (PARTITION BY doc_id, label ORDER BY ord) AS island FROM marked),
  runs AS (SELECT doc_id, ord FROM isl WHERE label QUALIFY count(*) OVER (PARTITION BY doc_id, island) >= 3)"""
 
 
-@query("repeated_boilerplate", f"WITH {LINES} SELECT doc_id, norm, count(DISTINCT page) AS pages FROM lines GROUP BY 1, 2 HAVING count(DISTINCT page) >= 2")
+@query("repeated_boilerplate", f"WITH {LINES} SELECT doc_id, norm, count(DISTINCT page) AS pages FROM lines GROUP BY 1, 2 HAVING count(DISTINCT page) >= 3")
 def repeated_boilerplate(spark, sf_dir):
-    return blocks.repeated_texts(blocks.paragraphs(table(spark, sf_dir, "documents")), 2)
+    return blocks.repeated_texts(blocks.paragraphs(table(spark, sf_dir, "documents")))
 
 
 @query("chrome_runs", f"WITH {LINES}, {RUNS} SELECT * FROM runs")
@@ -72,10 +77,6 @@ def chrome_runs(spark, sf_dir):
     return blocks.chrome_runs(blocks.paragraphs(table(spark, sf_dir, "documents")))
 
 
-_CHROME = f"""((len(list_filter([{', '.join(repr(p) for p in blocks.CHROME_PHRASES)}], lambda p: contains(norm, p))) > 0 AND len(string_split(norm, ' ')) <= 6) OR (len(regexp_split_to_array(trim(text), '{blocks.SEPARATORS}')) >= 4 AND len(string_split(norm, ' ')) <= 40
- AND len(list_filter(regexp_split_to_array(trim(text), '{blocks.SEPARATORS}'), lambda x: len(regexp_split_to_array(trim(x), '\\s+')) <= 4)) >= 0.75 * len(regexp_split_to_array(trim(text), '{blocks.SEPARATORS}'))))"""
-
-
 @query("block_roles", f"""WITH {LINES}, {RUNS}, rep AS (SELECT doc_id, norm FROM lines GROUP BY 1, 2 HAVING count(DISTINCT page) >= 3)
  SELECT role, count(*) AS n FROM (SELECT CASE WHEN norm IN ({', '.join(repr(t) for t in blocks.TOC_TITLES)}) THEN 'toc' WHEN (doc_id, norm) IN (SELECT * FROM rep) OR (doc_id, ord) IN (SELECT * FROM runs) OR {_CHROME} THEN 'boilerplate' ELSE 'body' END AS role FROM lines) GROUP BY 1""")
 def block_roles(spark, sf_dir):

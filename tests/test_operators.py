@@ -94,11 +94,11 @@ def test_heading_tree_and_outline(spark):
 
 
 def test_chrome(spark):
-    lines = ["Home", "About us", "News", "A full sentence stands here.", "Home", "Accept cookies", "a | b | c | d"]
+    lines = ["Home", "About us", "News", "A full sentence stands here.", "Home", "One more sentence stands right here.", "Accept cookies!", "a | b | c | d", "On 1/2/2024 and 3/4/2024 we met"]
     df = spark.createDataFrame([(1, i, "paragraph", None, i, x) for i, x in enumerate(lines)], pages.BLOCKS)
     assert sorted(r["ord"] for r in blocks.chrome_runs(df).collect()) == [0, 1, 2]
     got = {r["ord"]: r["role"] for r in blocks.roles(df).collect()}
-    assert got[3] == got[4] == "body" and got[0] == got[5] == got[6] == "boilerplate"
+    assert got[3] == got[4] == got[5] == got[8] == "body" and got[0] == got[6] == got[7] == "boilerplate"
 
 
 def test_html_parser(spark):
