@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def links(nodes: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], sweep: Callable[[DataFrame, DataFrame], DataFrame], prepare: Callable[[DataFrame], None] = lambda nodes: None, stars: int = STARS, once: bool = True) -> DataFrame:
+def links(nodes: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], sweep: Callable[[DataFrame, DataFrame], DataFrame], prepare: Callable[[DataFrame], None] = lambda nodes: None, stars: int = STARS, meet: Callable[[Column, str, str], Column] | None = None) -> DataFrame:
     """Confirmed links (a, b) that connect everything which shares a bucket and links, directly or through others.
 
     nodes: (node, keys, trait), with the node's buckets as an array; cheap to compute again. close: a
@@ -43,8 +43,7 @@ def links(nodes: DataFrame, close: Callable[[str, str], Column], confirm: Callab
     rows. confirm: takes distinct pairs (a, b) and returns those that link. sweep: takes (x, comp), nodes to be held against
     all of a large component, and its members (node, comp), and returns links (a, b): one at least for each x that links
     with a member; the pairs need not be rows. prepare: called once, with all nodes (node) that share a bucket with another.
-    once: forms a remaining pair in one of its shared buckets only, which costs a join with the nodes' keys and saves rows
-    where pairs share many buckets.
+    meet: whether so many shared buckets (a column) are enough for a remaining pair of two traits; one is if not given.
     """
     # dealt out by key once; what counts a bucket's nodes and what keeps them read the same shuffle
     buckets = nodes.select(F.explode("keys").alias("key"), "node").repartition(partitions(nodes), "key")
@@ -76,11 +75,12 @@ def links(nodes: DataFrame, close: Callable[[str, str], Column], confirm: Callab
     rows = written(rows.join(sizes, "comp", "left").select("key", "node", "trait", "comp", F.coalesce("size", F.lit(0)).alias("size")), "rows")
     small = rows.where("size = 0")
     apart = (F.col("key") == F.col("x_key")) & (F.col("comp") != F.col("x_comp")) & (F.col("node") < F.col("x"))
-    if once:
-        small = small.join(nodes.select("node", "keys"), "node")
-        apart = apart & (F.col("key") == F.array_min(F.array_intersect("keys", "x_keys")))
+    small = small.join(nodes.select("node", "keys"), "node")
+    common = F.array_intersect("keys", "x_keys")
+    once = F.col("key") == F.array_min(common)  # a pair is formed in one of its buckets only
+    enough = meet(F.size(common), "trait", "x_trait") if meet else F.lit(True)
     other = small.select(*[F.col(c).alias("x" if c == "node" else f"x_{c}") for c in small.columns])
-    pairs = small.join(other, apart & close("trait", "x_trait")).select(F.col("node").alias("a"), F.col("x").alias("b")).distinct()
+    pairs = small.join(other, apart & close("trait", "x_trait") & once & enough).select(F.col("node").alias("a"), F.col("x").alias("b")).distinct()
     new, _ = _try(pairs, confirm, tried)
     found = found.union(new)
     discard(shared)
