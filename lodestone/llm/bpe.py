@@ -1,10 +1,9 @@
 """Byte-level BPE encoding and decoding with a fixed rank file.
 
 Encoding: a fold over each distinct word's byte sequence (Spark higher-order functions) merges, again and again, the adjacent pair
-of lowest rank. The ranks of all adjacent pairs are looked up once in a literal rank map and carried along; a merge looks up
-the two pairs beside it only, and where nothing merges any more the fold passes its state on. The map is keyed by pairs of ids
-and split into small maps by a hash, since Spark searches a map from end to end. Words over LONG bytes, for which copying arrays
-would be quadratic, are merged in the task by a heap instead, with the same result. Tasks cut texts into words by the given pattern. The words that
+of lowest rank, looked up in a literal rank map; the map is keyed by pairs of ids and split into small maps by a
+hash, since Spark searches a map from end to end. Words over LONG bytes, for which the fold would be cubic, are
+merged in the task by a heap instead, with the same result. Tasks cut texts into words by the given pattern. The words that
 occur most over all texts (at most CACHE, a cache that no result depends on) are folded once and broadcast; every other
 word is folded beside the texts it stands in, once a batch. No text is shuffled. Decoding looks up each id's bytes
 and concatenates the pieces.
@@ -30,8 +29,7 @@ CACHE = 1 << 19  #: words whose ids are broadcast (about 30 bytes each)
 BUCKETS = 1 << 16
 BATCH = 4_000_000  #: characters whose words are looked up together
 LONG = 64  #: bytes; longer words are merged by a heap
-_NONE = (1 << 31) - 1  # rank of a pair that does not merge
-_REST = 1 << 30
+_SHIFT = 20
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -71,33 +69,17 @@ class Merges:
 
     def _rank(self, a: Column, b: Column) -> Column:
         key = F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long")).cast("string")
-        return F.coalesce(F.element_at(F.get(self.ranks, _bucket(a, b).bitwiseAND(F.lit(BUCKETS - 1))), key), F.lit(_NONE))
+        return F.element_at(F.get(self.ranks, _bucket(a, b).bitwiseAND(F.lit(BUCKETS - 1))), key)
 
-    def _merge(self, state: Column, _: Column) -> Column:
-        ids, ranks = state["ids"], state["ranks"]
-
-        def joined(best: Column, p: Column) -> Column:
-            """The state with pair number p (from 1) merged to the id `best`."""
-            none = F.array().cast("array<int>")
-            left = F.when(p > 1, F.array(self._rank(F.get(ids, p - 2), best))).otherwise(none)
-            right = F.when(p < F.size(ranks), F.array(self._rank(best, F.get(ids, p + 1)))).otherwise(none)
-            new_ids = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(best), F.slice(ids, p + 2, F.lit(_REST)))
-            new_ranks = F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, F.lit(_REST)))
-            return F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))
-
-        place = lambda best: _let(F.array_position(ranks, best).cast("int"), lambda p: joined(best, p))
-        return _let(F.array_min(ranks), lambda best: F.when(F.coalesce(best, F.lit(_NONE)) == _NONE, state).otherwise(place(best)))
+    def _merge(self, ids: Column, _: Column) -> Column:
+        ranked = F.transform(F.slice(ids, F.lit(2), F.lit(1 << 30)), lambda x, i: F.shiftleft(self._rank(F.get(ids, i), x).cast("long"), _SHIFT).bitwiseOR(i.cast("long")))
+        joined = lambda best: _let(best.bitwiseAND(F.lit((1 << _SHIFT) - 1)).cast("int"), lambda p: F.concat(F.slice(ids, F.lit(1), p), F.array(F.shiftright(best, _SHIFT).cast("int")), F.slice(ids, p + 3, F.lit(1 << 30))))
+        return _let(F.array_min(ranked), lambda best: F.when(best.isNull(), ids).otherwise(joined(best)))
 
     def encode(self, word: Column) -> Column:
-        """array<int> ids of a word (binary)."""
+        """array<int> ids of a word (binary, LONG bytes at most)."""
         units = F.transform(F.regexp_extract_all(F.hex(word), F.lit(".."), F.lit(0)), lambda h: F.get(self.bytes, F.conv(h, 16, 10).cast("int")))
-
-        def fold(u: Column) -> Column:
-            pairs = F.zip_with(F.slice(u, F.lit(1), F.size(u) - 1), F.slice(u, F.lit(2), F.size(u) - 1), self._rank)
-            start = F.struct(u.alias("ids"), pairs.alias("ranks"))
-            return F.aggregate(F.sequence(F.lit(2), F.size(u)), start, self._merge, lambda s: s["ids"])
-
-        return _let(units, lambda u: F.when(F.size(u) < 2, u).otherwise(fold(u)))
+        return _let(units, lambda u: F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(u), F.lit(2))), u, self._merge))
 
 
 def merge_long(word: bytes, rank: dict[bytes, int]) -> list[int]:
