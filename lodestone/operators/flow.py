@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.streaming.streams import shared_folder
+
 
 def fallback(df: DataFrame, steps: list[tuple[str, Column, Column | None]], name: str, accept: float = 0.5) -> DataFrame:
     """Runs steps (label, value, score or none) in turn for each row: a null value or a score under `accept` passes the row
@@ -30,15 +32,28 @@ def replace_documents(stored: DataFrame, fresh: DataFrame, key: str) -> DataFram
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
-def ancestors(spark, nodes: DataFrame, depth: int = 50) -> DataFrame:
-    """(node, ancestor, steps) of every node over its parents; a cycle ends at the depth. nodes: node, parent."""
-    nodes.createOrReplaceTempView("__lodestone_nodes")
-    return spark.sql(
-        f"""WITH RECURSIVE up(node, ancestor, steps) AS (
-              SELECT node, parent, 1 FROM __lodestone_nodes WHERE parent IS NOT NULL
-              UNION ALL SELECT up.node, n.parent, up.steps + 1 FROM up JOIN __lodestone_nodes n ON n.node = up.ancestor WHERE n.parent IS NOT NULL AND up.steps < {depth})
-            SELECT node, min(steps) AS steps, ancestor FROM up GROUP BY node, ancestor"""
-    )
+def ancestors(spark, nodes: DataFrame) -> DataFrame:
+    """(node, steps, ancestor) of every node over its parents, at any depth, by the shortest way. nodes: node, parent.
+
+    Each round joins what is known with itself, so it reaches twice as far; rounds are written to the shared folder and end
+    when no pair is new, which cycles do not hinder."""
+    folder = shared_folder(spark)
+
+    def kept(rows: DataFrame, number: int) -> DataFrame:
+        rows.write.parquet(f"{folder}/{number}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{number}")
+
+    pairs = kept(nodes.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")).distinct(), 0)
+    known, number = pairs.count(), 0
+    while True:
+        on = pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"), F.col("steps").alias("more"))
+        far = pairs.join(on, "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
+        number += 1
+        pairs = kept(pairs.unionByName(far).groupBy("node", "ancestor").agg(F.min("steps").alias("steps")), number)
+        n = pairs.count()
+        if n == known:
+            return pairs.select("node", "steps", "ancestor")
+        known = n
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -7,9 +7,11 @@ from lodestone.streaming.streams import shared_folder
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """(rows, digest): a digest of all rows that does not depend on their order."""
-    row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("digest"))
+    """(rows, digest): the sum of the rows' SHA-256 values (60 bits of each), which their order does not change but any row
+    more, less or other does, equal ones included."""
+    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    number = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(number).cast("string"), F.lit("0")).alias("digest"))
 
 
 def export_bundle(tables: dict[str, DataFrame], path: str) -> None:
@@ -24,7 +26,7 @@ def export_bundle(tables: dict[str, DataFrame], path: str) -> None:
 
 def import_bundle(spark: SparkSession, path: str, schemas: dict[str, object]) -> dict[str, DataFrame]:
     """The tables; ValueError where a table's rows are not those of the manifest."""
-    manifest = {r["name"]: (r["rows"], r["digest"]) for r in spark.read.schema("name string, rows long, digest long").json(f"{path}/manifest").collect()}
+    manifest = {r["name"]: (r["rows"], r["digest"]) for r in spark.read.schema("name string, rows long, digest string").json(f"{path}/manifest").collect()}
     out = {}
     for name, schema in schemas.items():
         df = spark.read.schema(schema).json(f"{path}/{name}.jsonl")

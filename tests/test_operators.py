@@ -256,3 +256,10 @@ def test_rerank_degrades_to_fusion_order(spark):
     got = [(r["query_id"], r["doc_id"], r["fusion_score"], r["score"]) for r in assemble.reranked(hits, F.col("new"), 2).orderBy("query_id", "rank").collect()]
     assert got == [(1, 11, 0.8, 0.7), (1, 10, 0.9, 0.1), (2, 10, 0.9, 0.9), (2, 11, 0.8, 0.8)]
     assert retrieval.score_kind(["dense"]) == "raw_dense" and retrieval.score_kind(["dense", "sparse"], "dbsf") == "dbsf_fusion"
+
+
+def test_ancestors_of_long_chains_and_cycles(spark):
+    nodes = [(i, i - 1 if i else None) for i in range(130)] + [(200, 201), (201, 202), (202, 200)]
+    got = {(r["node"], r["ancestor"]): r["steps"] for r in flow.ancestors(spark, spark.createDataFrame(nodes, "node int, parent int")).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 200} == {(i, j): i - j for i in range(130) for j in range(i)}
+    assert got[200, 202] == 2 and got[200, 200] == 3 and len(got) == 130 * 129 // 2 + 9
