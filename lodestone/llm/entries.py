@@ -1,6 +1,8 @@
 """Registered queries of this package and their SQL."""
 
+from lodestone.llm import filter_audit
 from lodestone.llm.bpe import op1_bpe
+from lodestone.llm.filter_audit import op11_filter_audit
 from lodestone.llm.fingerprint import op5_fingerprint
 from lodestone.llm.language import op6_language
 from lodestone.llm.licenses import op9_licenses
@@ -11,10 +13,23 @@ from lodestone.llm.packing import op4_packing
 from lodestone.llm.pii import op7_pii
 from lodestone.llm.toxicity import op8_toxicity
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_fingerprint": op5_fingerprint, "op9_licenses": op9_licenses, "op10_near_dup": op10_near_dup, "op2_line_dedup": op2_line_dedup, "op3_neighbours": op3_neighbours, "op4_packing": op4_packing, "op6_language": op6_language, "op7_pii": op7_pii, "op8_toxicity": op8_toxicity}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_neighbours": op3_neighbours,
+    "op4_packing": op4_packing,
+    "op5_fingerprint": op5_fingerprint,
+    "op6_language": op6_language,
+    "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
+    "op9_licenses": op9_licenses,
+    "op10_near_dup": op10_near_dup,
+    "op11_filter_audit": op11_filter_audit,
+}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
+    "op11_filter_audit": filter_audit.ORACLE,
     "op10_near_dup": f"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
  sets AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
  items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
