@@ -10,7 +10,9 @@ from lodestone.llm.line_dedup import op2_line_dedup
 from lodestone.llm.near_dup import op10_near_dup
 from lodestone.llm.neighbours import op3_neighbours
 from lodestone.llm.packing import op4_packing
+from lodestone.llm.period_runs import op12_period_runs
 from lodestone.llm.pii import op7_pii
+from lodestone.llm.substring_dedup import op13_substring_dedup
 from lodestone.llm.toxicity import op8_toxicity
 
 QUERIES = {
@@ -25,6 +27,8 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_near_dup": op10_near_dup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_period_runs": op12_period_runs,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -48,9 +48,9 @@ def _hash_piece(data: bytes) -> np.ndarray:
         return mix((total[end] - total[start]) * _power("down", _INVERSE, len(a) + 1)[start])
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hash of each white-space-separated word, A-Z as a-z, in order."""
-    text = text.translate(LOWER)
+def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:
+    """Hash of each white-space-separated word in order; with fold, A-Z as a-z."""
+    text = text.translate(LOWER) if fold else text
     if len(text) <= PIECE:
         return _hash_piece(text) if text else np.zeros(0, _U)
     out, at = [], 0
@@ -63,6 +63,23 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
+def grams(w: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on (as many as there are)."""
+    m = len(w) - n + 1
+    with np.errstate(over="ignore"):
+        h = np.zeros(max(m, 0), _U) + _U(n)
+        for j in range(n if m > 0 else 0):
+            h += w[j : m + j] * _PLACE[j]
+        return mix(h)
+
+
+def stretches(w: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words of each stretch [start, end)."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, _U), np.cumsum(w * _power("up", _BASE, len(w)))))
+        return mix((total[end] - total[start]) * _power("down", _INVERSE, len(w) + 1)[start] + (end - start).astype(_U))
+
+
 def shingle_hashes(text: bytes | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles; with fewer words the whole sequence is one; none without words."""
     w = word_hashes(text or b"")
