@@ -29,11 +29,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors. With drop_shuffles, the shuffle
+    files that writing took are deleted with the table's last row, not when the driver collects garbage."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if drop_shuffles:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _folders[out] = path
     return out

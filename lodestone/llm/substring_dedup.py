@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import partitions, read, small, texts
+from lodestone.llm.common import bounded_broadcast, discard, partitions, read, small, texts, written
 from lodestone.llm.hashing import grams, mix, stretches, word_hashes
 
 WINDOW, ANCHOR = 20, 5
 HOT = 4096  #: kinds of segments beyond which an anchor's windows are dealt out singly
+ANCHORS = 4_000_000  #: at most so many anchors with several kinds (9 bytes each) are broadcast; beyond, the joins shuffle
 SHARD = 1_000_000  #: words of an index, beyond which it ends with the next key
 
 
@@ -261,16 +262,19 @@ def _search(pieces: DataFrame, window: int) -> DataFrame:
 def first_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, place, mask): of each document's segments, which windows start nowhere earlier. docs: (doc_id, text) with a doc_id."""
     n = partitions(docs)
-    kinds = _kinds(docs, window)
-    anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("first").alias("first"))
-    alone = anchors.where("kinds = 1").select("first.doc", "first.place").withColumn("mask", F.expr("shiftleft(1L, int(shiftright(place, 27) & 31)) - 1"))
-    shared = kinds.join(anchors.where("kinds > 1").select("anchor", (F.col("kinds") > HOT).alias("hot")), "anchor")
-    asked = shared.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("anchor", F.col("first.place").alias("place"), "hot")).alias("wanted"))
-    pieces = _pieces(asked, docs, window)
+    kinds = written(_kinds(docs, window).select("anchor", "first.doc", "first.place"), "segments", drop_shuffles=True)
+    several = kinds.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > HOT).alias("hot"))
+    several = written(several, "anchors", drop_shuffles=True)
+    several = bounded_broadcast(several, several.count(), ANCHORS)
+    alone = kinds.join(several, "anchor", "left_anti").select("doc", "place", F.expr("shiftleft(1L, int(shiftright(place, 27) & 31)) - 1").alias("mask"))
+    asked = kinds.join(several, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("wanted"))
+    pieces = written(_pieces(asked, docs, window), "pieces", drop_shuffles=True)
     hot = pieces.where("hot").groupBy("key", "words").agg(F.min(F.struct("doc", (F.shiftright("place", 32) + F.col("skip")).alias("begin"), "place", "skip")).alias("f"))
     hot = hot.select("key", "words", "f.doc", "f.place", "f.skip", F.lit(1).cast("long").alias("n"))
     every = pieces.where("NOT hot").drop("hot").unionByName(hot)
-    return alone.unionByName(_search(every.repartition(n, "key").sortWithinPartitions("key"), window))
+    found = written(_search(every.repartition(n, "key").sortWithinPartitions("key"), window), "firsts", drop_shuffles=True)
+    discard(pieces)
+    return alone.unionByName(found)
 
 
 def dedup_substrings(df: DataFrame, window: int = WINDOW) -> DataFrame:
