@@ -11,7 +11,7 @@ and has no labels. A doc_id that labels repeat counts as good (toxic) if any of
 empty table gives no rows.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import bounded_broadcast, read, written
@@ -49,8 +49,7 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.sum("count").alias("n"), F.min("doc_id").alias("least"), F.min_by("count", F.col("doc_id")).alias("at_least"),
         F.sum(F.when(F.col("doc_id").isNull(), F.col("count")).otherwise(0)).alias("unknown"),
     )
-    least = kinds.groupBy("h").agg(F.min("least").alias("first"), F.count("*").alias("kinds"))
-    kinds = kinds.join(least, "h")
+    kinds = kinds.withColumn("first", F.min("least").over(Window.partitionBy("h")))  # one text has a few kinds
     passing = F.col("unknown") + F.when(F.col("least") == F.col("first"), F.col("at_least")).otherwise(0)
     both = kinds.select("part", "good", "toxic", F.explode(F.array(F.struct(F.col("fails").alias("mask"), passing.alias("n")), F.struct((F.col("fails") + 16).alias("mask"), (F.col("n") - passing).alias("n")))).alias("c"))
     both = both.select("part", F.col("c.mask").alias("mask"), F.col("c.n").alias("n"), "good", "toxic").where("n > 0")
