@@ -1,4 +1,4 @@
-"""Putting content together: tables as Markdown, page ranges, orphan headings, anchors, scopes, views, payloads, reranking."""
+"""Putting content together: page ranges, orphan headings, anchors, scopes, views, payloads, reranking."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -6,18 +6,6 @@ from pyspark.sql import functions as F
 from lodestone.functions.vectors import normalize_box
 
 
-def markdown_grid(cells: Column | str) -> Column:
-    """array<array<string>> as a Markdown table: ragged rows padded, marks escaped, a rule under the first row; null if empty."""
-    rows = F.col(cells) if isinstance(cells, str) else cells
-    wide = F.array_max(F.transform(rows, F.size))
-    clean = lambda x: F.regexp_replace(F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), r"\s*[\r\n]+\s*", " ")
-    padded = lambda r: F.concat(F.transform(r, clean), F.array_repeat(F.lit(""), (wide - F.size(r)).cast("int")))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    rule = line(F.array_repeat(F.lit("---"), wide))
-    lines = F.transform(rows, lambda r: line(padded(r)))
-    return F.when(wide > 0, F.array_join(F.concat(F.slice(lines, F.lit(1), F.lit(1)), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n"))
-
-
 def page_numbers(selector: str, pages: int) -> list[int]:
     """The pages (from 1) that a selector such as `5,7-9` names; ValueError says what is wrong with it."""
     out: set[int] = set()

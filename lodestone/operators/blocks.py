@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import normalize
 
-# Titles of tables of contents, and phrases of page chrome.
-TOC_TITLES = ("contents", "table of contents", "summary", "sommaire", "table des matières", "index")
-CHROME_PHRASES = ("skip to content", "accept cookies", "cookie policy", "privacy policy", "terms of use", "all rights reserved", "sign in", "log in", "subscribe", "share this page", "back to top")
-WIDGETS = ("search", "rechercher", "filter by", "sort by", "trier par")  #: what short search widgets begin with
-SEPARATORS = r"\s*[|•·›»]\s*"
+# The titles of tables of contents, and the texts of page chrome.
+TOC_TITLES = ("contents", "table of contents", "toc", "sommaire", "table des matières", "índice")
+CHROME_PHRASES = (
+    "no results", "no result", "no results found", "no matching results", "il n'y a pas de résultat", "il n'y a pas de résultats", "aucun résultat",
+    "aucun resultat", "faire une recherche complète", "recherche complète", "search", "rechercher", "menu", "navigation", "skip to content",
+    "aller au contenu", "back to top", "haut de page",
+)
+CHROME_PREFIXES = ("rechercher ", "faire une recherche", "search for", "aller au ", "retour au ", "back to ", "skip to ")
+SEPARATORS = "[·•|›»∙‧・\\t\\n]+"
+EDGES = r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_']+$"
 
 
 def paragraphs(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,21 +31,32 @@ def repeated_texts(blocks: DataFrame, pages: int = 3) -> DataFrame:
     return blocks.select("doc_id", "page", normalize("text").alias("norm")).groupBy("doc_id", "norm").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= pages)
 
 
-def is_chrome(text: str) -> Column:
-    """One block of page chrome: a known phrase and nothing else, a search widget in few words, or a row of short labels
-    between separators (of which a slash is none: dates and paths have it)."""
-    norm = F.regexp_replace(normalize(text), r"[\s.!?:;…]+$", "")
-    words = lambda c: F.size(F.split(F.trim(c), r"\s+"))
-    widget = (words(norm) <= 6) & F.regexp_like(norm, F.lit(rf"^({'|'.join(WIDGETS)})\b"))
-    parts = F.filter(F.split(text, SEPARATORS), lambda x: F.trim(x) != "")
-    short = F.filter(parts, lambda x: words(x) <= 4)
-    labels = (F.size(parts) >= 4) & (words(text) <= 40) & (F.size(short) >= 0.75 * F.size(parts))
-    return norm.isin(*CHROME_PHRASES) | widget | labels
+def _words(norm: Column) -> Column:
+    return F.size(F.split(norm, " "))
+
+
+def is_chrome(text: str, norm: Column | None = None) -> Column:
+    """One block of page chrome: a known phrase and nothing else, a search widget or link in few words, or a row of short labels
+    between separators (of which a slash is none: dates and paths have it). norm: the normal form, if it is there already."""
+    norm = normalize(text) if norm is None else norm
+    key = F.regexp_replace(norm, EDGES, "")
+    begins = key.startswith(CHROME_PREFIXES[0])
+    for prefix in CHROME_PREFIXES[1:]:
+        begins = begins | key.startswith(prefix)
+    parts = F.filter(F.transform(F.split(text, SEPARATORS), normalize), lambda x: x != "")
+    short = F.filter(parts, lambda x: (_words(x) <= 4) | F.regexp_replace(x, EDGES, "").isin(*CHROME_PHRASES))
+    labels = F.col(text).rlike(SEPARATORS) & (_words(norm) <= 40) & (F.size(parts) >= 4) & (F.size(short) >= 0.75 * F.size(parts))
+    return key.isin(*CHROME_PHRASES) | (begins & (_words(key) <= 6)) | labels
+
+
+def is_short(norm: Column) -> Column:
+    """A normal form of one to four words."""
+    return (norm != "") & (_words(norm) <= 4)
 
 
 def label_like(text: str) -> Column:
     """What menus are made of: a few words, or chrome by itself."""
-    return (F.size(F.split(F.trim(text), r"\s+")) <= 4) | is_chrome(text)
+    return is_short(normalize(text)) | is_chrome(text)
 
 
 def chrome_runs(blocks: DataFrame, least: int = 3) -> DataFrame:
@@ -53,14 +69,16 @@ def chrome_runs(blocks: DataFrame, least: int = 3) -> DataFrame:
 
 
 def roles(blocks: DataFrame) -> DataFrame:
-    """blocks with role: header_footer, then toc, then repeated text, then chrome, then body."""
+    """blocks with role: header_footer, then a heading of contents as toc, then repeated text, then chrome, then body; a heading is no chrome.
+    passages.with_roles takes in all that stands below a heading of contents."""
+    heading = F.col("block_type") == "heading"
     repeated = repeated_texts(blocks).select("doc_id", "norm", F.lit(True).alias("repeated"))
     runs = chrome_runs(blocks).withColumn("run", F.lit(True))
     rows = blocks.withColumn("norm", normalize("text")).join(repeated, ["doc_id", "norm"], "left").join(runs, ["doc_id", "ord"], "left")
     role = (
         F.when(F.col("block_type") == "header_footer", "header_footer")
-        .when(F.col("norm").isin(*TOC_TITLES), "toc")
-        .when(F.coalesce("repeated", F.lit(False)) | F.coalesce("run", F.lit(False)) | is_chrome("text"), "boilerplate")
+        .when(heading & F.col("norm").isin(*TOC_TITLES), "toc")
+        .when(F.coalesce("repeated", F.lit(False)) | F.coalesce("run", F.lit(False)) | (is_chrome("text", F.col("norm")) & ~heading), "boilerplate")
         .otherwise("body")
     )
     return rows.withColumn("role", role).drop("norm", "repeated", "run")
@@ -76,10 +94,9 @@ def quality(blocks: DataFrame) -> DataFrame:
 
 
 def first_heading(blocks: DataFrame) -> DataFrame:
-    """(doc_id, title): the first level-1 heading that is no table of contents, else the first heading."""
-    h = blocks.where("block_type = 'heading'")
-    rank = F.when((F.coalesce("level", F.lit(1)) == 1) & ~normalize("text").isin(*TOC_TITLES), 0).otherwise(1)
-    return h.groupBy("doc_id").agg(F.min_by("text", F.struct(rank, "ord")).alias("title"))
+    """(doc_id, title): the first level-1 heading, else the first heading; blank ones and those of contents do not count."""
+    h = blocks.where((F.col("block_type") == "heading") & (F.trim("text") != "") & ~F.lower(F.trim("text")).isin(*TOC_TITLES))
+    return h.groupBy("doc_id").agg(F.min_by(F.trim("text"), F.struct(F.when(F.col("level") == 1, 0).otherwise(1), "ord")).alias("title"))
 
 
 def heading_tree(blocks: DataFrame, levels: int = 6) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import assemble, blocks, retrieval, schema
+from lodestone.operators import assemble, blocks, retrieval, schema, tables
 from lodestone.plans.content_queries import LINES
 from lodestone.plans.registry import query
 from lodestone.plans.retrieval_queries import RANK, RRF, branches
@@ -98,12 +98,12 @@ def latest_values(spark, sf_dir):
 
 
 @query("markdown_grid", """WITH r AS (SELECT conv_id, turn, '| ' || turn || ' | ' || replace(replace(role, '\\', '\\\\'), '|', '\\|') || ' | ' ||
-  regexp_replace(replace(replace(substr(text, 1, 40), '\\', '\\\\'), '|', '\\|'), '\\s*[\\r\\n]+\\s*', ' ', 'g') || ' |' AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
+  translate(replace(replace(substr(text, 1, 40), '\\', '\\\\'), '|', '\\|'), chr(10) || chr(13), '  ') || ' |' AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
  SELECT conv_id, md5(string_agg(CASE WHEN i = 1 THEN line || chr(10) || '| --- | --- | --- |' ELSE line END, chr(10) ORDER BY turn)) AS grid FROM r GROUP BY 1""")
 def markdown_grid(spark, sf_dir):
     cell = F.array(F.col("turn").cast("string"), "role", F.substring("text", 1, 40))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cell.alias("c")))).alias("r"))
-    return rows.select("conv_id", F.md5(assemble.markdown_grid(F.transform("r", lambda x: x["c"]))).alias("grid"))
+    return rows.select("conv_id", F.md5(tables.markdown(F.transform("r", lambda x: x["c"]))).alias("grid"))
 
 
 @query("page_selector", f"WITH {LINES} SELECT doc_id, page + 1 AS page, count(*) AS n FROM lines WHERE page + 1 IN (1, 3, 4, 5) GROUP BY 1, 2")

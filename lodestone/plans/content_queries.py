@@ -57,12 +57,16 @@ def language_detect(spark, sf_dir):
 
 
 LINES = "lines AS (SELECT doc_id, (i - 1)::INTEGER AS ord, ((i - 1) // 10)::INTEGER AS page, l AS text, trim(regexp_replace(lower(l), '\\s+', ' ', 'g')) AS norm FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(l) <> '')"
-_PARTS = f"list_filter(regexp_split_to_array(text, '{blocks.SEPARATORS}'), lambda x: trim(x) <> '')"
-_COUNT = "len(regexp_split_to_array(trim({}), '\\s+'))"
-_NORM = "regexp_replace(norm, '[\\s.!?:;…]+$', '')"
-_CHROME = f"""({_NORM} IN ({', '.join(repr(p) for p in blocks.CHROME_PHRASES)}) OR ({_COUNT.format(_NORM)} <= 6 AND regexp_matches({_NORM}, '^({'|'.join(blocks.WIDGETS)})\\b'))
- OR (len({_PARTS}) >= 4 AND {_COUNT.format('text')} <= 40 AND len(list_filter({_PARTS}, lambda x: {_COUNT.format('x')} <= 4)) >= 0.75 * len({_PARTS})))"""
-_LABEL = f"({_COUNT.format('text')} <= 4 OR {_CHROME})"
+# The texts of page chrome, as the operators have them.
+_PHRASES = """('no results', 'no result', 'no results found', 'no matching results', 'il n''y a pas de résultat', 'il n''y a pas de résultats', 'aucun résultat', 'aucun resultat', 'faire une recherche complète', 'recherche complète', 'search', 'rechercher', 'menu', 'navigation', 'skip to content', 'aller au contenu', 'back to top', 'haut de page')"""
+_PREFIX = "^(rechercher |faire une recherche|search for|aller au |retour au |back to |skip to )"
+_EDGES = "^[^\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_'']+$"
+_PARTS = "list_filter(list_transform(regexp_split_to_array(text, '[·•|›»∙‧・\\t\\n]+'), lambda x: trim(regexp_replace(lower(x), '\\s+', ' ', 'g'))), lambda x: x <> '')"
+_COUNT = "len(string_split({}, ' '))"
+_KEY = f"regexp_replace({{}}, '{_EDGES}', '', 'g')".replace("p{L}", "p{{L}}").replace("p{N}", "p{{N}}")
+_CHROME = f"""({_KEY.format('norm')} IN {_PHRASES} OR ({_COUNT.format(_KEY.format('norm'))} <= 6 AND regexp_matches({_KEY.format('norm')}, '{_PREFIX}'))
+ OR (len({_PARTS}) >= 4 AND {_COUNT.format('norm')} <= 40 AND len(list_filter({_PARTS}, lambda x: {_COUNT.format('x')} <= 4 OR {_KEY.format('x')} IN {_PHRASES})) >= 0.75 * len({_PARTS})))"""
+_LABEL = f"((norm <> '' AND {_COUNT.format('norm')} <= 4) OR {_CHROME})"
 RUNS = f"""marked AS (SELECT doc_id, ord, {_LABEL} AS label FROM lines), isl AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - row_number() OVER (PARTITION BY doc_id, label ORDER BY ord) AS island FROM marked),
  runs AS (SELECT doc_id, ord FROM isl WHERE label QUALIFY count(*) OVER (PARTITION BY doc_id, island) >= 3)"""
 
@@ -78,7 +82,7 @@ def chrome_runs(spark, sf_dir):
 
 
 @query("block_roles", f"""WITH {LINES}, {RUNS}, rep AS (SELECT doc_id, norm FROM lines GROUP BY 1, 2 HAVING count(DISTINCT page) >= 3)
- SELECT role, count(*) AS n FROM (SELECT CASE WHEN norm IN ({', '.join(repr(t) for t in blocks.TOC_TITLES)}) THEN 'toc' WHEN (doc_id, norm) IN (SELECT * FROM rep) OR (doc_id, ord) IN (SELECT * FROM runs) OR {_CHROME} THEN 'boilerplate' ELSE 'body' END AS role FROM lines) GROUP BY 1""")
+ SELECT role, count(*) AS n FROM (SELECT CASE WHEN (doc_id, norm) IN (SELECT * FROM rep) OR (doc_id, ord) IN (SELECT * FROM runs) OR {_CHROME} THEN 'boilerplate' ELSE 'body' END AS role FROM lines) GROUP BY 1""")
 def block_roles(spark, sf_dir):
     return blocks.roles(blocks.paragraphs(table(spark, sf_dir, "documents"))).groupBy("role").agg(F.count("*").alias("n"))
 
