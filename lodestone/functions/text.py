@@ -1,5 +1,6 @@
 """Column functions on text: normal forms, tokens, sentences, language by function words."""
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +55,17 @@ def terms(c: Column | str) -> Column:
     return F.filter(words(c), lambda w: ~w.isin(*STOP_WORDS))
 
 
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_FOLD = str.maketrans({c: v for k, v in FOLD.items() for c in k} | LIGATURES)
+_STOP = frozenset(STOP_WORDS)
+
+
+def surface(text: str) -> tuple[list[str], int]:
+    """What `terms` gives, for use within a task, and their number."""
+    out = [w for w in _WORD.findall(text.lower().translate(_FOLD)) if w not in _STOP]
+    return out, len(out)
+
+
 def count_tokens(c: Column | str) -> Column:
     """Words and marks: the default token counter."""
     return F.size(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0)))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import normalize_box
+from lodestone.operators.tables import markdown as markdown_grid  # noqa: F401  its former place
 
 
 def page_numbers(selector: str, pages: int) -> list[int]:

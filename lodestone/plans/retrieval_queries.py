@@ -3,10 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import FOLD, LIGATURES, STOP_WORDS, terms
+from lodestone.functions import stems
+from lodestone.functions.text import FOLD, LIGATURES, STOP_WORDS, surface
 from lodestone.operators import filters, retrieval
 from lodestone.plans.registry import query
+from lodestone.sources import postings as stored
 from lodestone.sources.tables import table
+from lodestone.streaming.streams import shared_folder
 
 ASKED = "The Apache license of worthless things and the great token"
 FILTER = {"lang": ["en", "fr"], "n_chars": {"gte": 300}}
@@ -36,14 +39,11 @@ LEXICAL = f"""{POSTINGS},
 RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)"
 
 
-def asked_terms(spark: SparkSession, text: str = ASKED) -> DataFrame:
-    one = spark.createDataFrame([(0, text)], "query_id long, text string")
-    return one.select("query_id", F.explode(terms("text")).alias("term")).distinct()
-
-
-def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return retrieval.lexical_scores(retrieval.postings(docs, "doc_id"), asked_terms(spark), "doc_id", docs.count())
+def lexical(spark: SparkSession, sf_dir: str, text: str = ASKED, analyzer=surface) -> DataFrame:
+    """Scores of one stated query; postings of its terms only."""
+    docs, words = table(spark, sf_dir, "documents"), list(dict.fromkeys(analyzer(text)[0]))
+    asked = spark.createDataFrame([(0, w) for w in words], "query_id long, term string")
+    return retrieval.lexical_scores(retrieval.postings(docs, "doc_id", analyzer=analyzer, only=words), asked, "doc_id", docs.count())
 
 
 @query("bm25_postings", f"WITH {POSTINGS} SELECT term, count(*) AS documents, round(sum(weight), 4) AS weight FROM posts GROUP BY term")
@@ -95,9 +95,16 @@ BRANCHES = f"""{POSTINGS},
  b2 AS (SELECT *, {RANK} AS rank FROM lexical QUALIFY rank <= 100)"""
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, so that they are made once."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def branches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    posts = retrieval.postings(docs, "doc_id")
+    posts = kept(retrieval.postings(docs, "doc_id"), "postings")
     asked = posts.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), "term")
     words = retrieval.lexical_scores(posts, asked, "doc_id", docs.count())
     return [dense(spark, sf_dir, retrieval.depth(10)), retrieval.ranked(words, "doc_id", retrieval.depth(10))]
@@ -219,3 +226,23 @@ _filter_query("contains", {"source": {"contains": "C1"}}, "contains(lower(source
 _filter_query("prefix", {"tags": {"prefix": "SRC1"}}, "len(list_filter(tags, lambda x: starts_with(lower(x), 'src1'))) > 0")
 _filter_query("full_text", {"text": {"contains": "license MIT"}}, f"list_has_all(regexp_extract_all({_fold_sql('text')}, '[\\p{{L}}\\p{{N}}]+'), ['license', 'mit'])")
 _filter_query("range", {"n_chars": {"gte": 500, "lt": 900}, "doc_id": {"lte": 700}}, "n_chars >= 500 AND n_chars < 900 AND doc_id <= 700")
+
+
+STEMMED = "Les marchés publics et la nation des réseaux thionly tokens licensed under the inner tions"
+
+
+@query("stem_postings")
+def stem_postings(spark, sf_dir):
+    """Documents and weight of every stem."""
+    posts = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", analyzer=stems.analyze)
+    return posts.groupBy("term").agg(F.count("*").alias("documents"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
+@query("stem_search")
+def stem_search(spark, sf_dir):
+    """The ten best documents by stems, over a stored index of which the asked terms are read."""
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/stems"
+    stored.store(retrieval.postings(docs, "doc_id", analyzer=stems.analyze), path)
+    words = list(dict.fromkeys(stems.analyze(STEMMED)[0]))
+    asked = spark.createDataFrame([(0, w) for w in words], "query_id long, term string")
+    return retrieval.ranked(retrieval.lexical_scores(stored.load(spark, path, words), asked, "doc_id", docs.count()), "doc_id", 10).select("doc_id", "score", "rank")
