@@ -61,6 +61,30 @@ def similar(counts: DataFrame, needle: str, limit: int, cutoff: float = 0.6) ->
     return counts.withColumn("ratio", F.round(ratio, 6)).where(F.col("ratio") >= cutoff).orderBy(F.desc("ratio"), "value").limit(limit)
 
 
+def similar_pairs(needles: DataFrame, counts: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """(needle, value, n, ratio) of all values at an edit likeness of the cutoff or more to each of any number of needles.
+
+    Texts d edits apart share all but 2d of their pairs of neighbouring characters (with a mark at both ends), so candidates come
+    from a join on those pairs, each with its number among equal ones; above a cutoff of one half, like texts share one at
+    least. Lengths bound d within the join, and the count of shared pairs before any distance is taken."""
+    if not 0.5 < cutoff <= 1:
+        raise ValueError("the cutoff must be above 0.5 and at most 1")
+
+    def pairs(df: DataFrame, c: str) -> DataFrame:
+        marked = F.concat(F.lit("\u0002"), F.lower(c), F.lit("\u0003"))
+        all_ = F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substr(marked, i, F.lit(2)))
+        numbered = F.transform("p", lambda x, i: F.concat(x, F.size(F.filter(F.slice("p", F.lit(1), i), lambda y: y == x)).cast("string")))
+        return df.where(F.length(c) > 0).withColumn("p", all_).withColumns({"l": F.length(c), "p": numbered}).select(c, F.col("l").alias(f"l_{c}"), F.explode("p").alias("pair"))
+
+    # length of the longer text, times what may differ
+    longest = F.greatest("l_needle", "l_value")
+    edits = F.floor((1 - cutoff) * longest + 1e-9)
+    near = pairs(needles.select("needle").distinct(), "needle").join(pairs(counts.select("value"), "value"), "pair").where(F.abs(F.col("l_needle") - F.col("l_value")) <= edits)
+    some = near.groupBy("needle", "value", "l_needle", "l_value").agg(F.count("*").alias("shared")).where(F.col("shared") >= longest + 1 - 2 * edits)
+    ratio = F.round(1 - F.levenshtein(F.lower("value"), F.lower("needle")) / longest, 6)
+    return some.withColumn("ratio", ratio).where(F.col("ratio") >= cutoff).join(counts, "value").select("needle", "value", "n", "ratio")
+
+
 def case_variants(metadata: DataFrame, field: str, most: int) -> DataFrame:
     """At most so many spellings of each value without regard to case."""
     values = metadata.where(F.col("field") == field).select("value").distinct().withColumn("folded", F.lower("value"))
