@@ -41,6 +41,46 @@ def anchored(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
     return chunks.join(anchors, "doc_id", "left").withColumn("context", F.coalesce(anchor, F.lit(""))).drop("anchor")
 
 
+def document_anchors(documents: DataFrame, chunks: DataFrame, headings: DataFrame | None = None, title: str = "title", fall_back: bool = True) -> DataFrame:
+    """(doc_id, anchor): the declared title, else the first heading of the first chunk's path, else the document's first heading
+    (doc_id, title); null if there is none. Blank titles do not count."""
+    rows = documents.select("doc_id", F.nullif(F.trim(title), F.lit("")).alias("declared"))
+    if not fall_back:
+        return rows.select("doc_id", F.col("declared").alias("anchor"))
+    first = chunks.groupBy("doc_id").agg(F.min_by(F.get("heading_path", F.lit(0)), "chunk").alias("__path"))
+    rows = rows.join(first, "doc_id", "left")
+    if headings is None:
+        return rows.select("doc_id", F.coalesce("declared", F.nullif(F.trim("__path"), F.lit(""))).alias("anchor"))
+    rows = rows.join(headings.select("doc_id", F.col("title").alias("__first")), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("declared", F.nullif(F.trim("__path"), F.lit("")), "__first").alias("anchor"))
+
+
+def _capped(text: Column, words: int) -> Column:
+    """A text of at most so many words as it is, else its first words."""
+    ws = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    return F.when(F.size(ws) <= words, text).otherwise(F.array_join(F.slice(ws, F.lit(1), F.lit(words)), " "))
+
+
+def scoped(chunks: DataFrame, scope: str, reach: int = 2, words: int = 4000) -> DataFrame:
+    """chunks with scope, the text that a model reads to place a chunk: the whole document (full), the chunks of the same section
+    (section; those without one take the window), or the chunks at most `reach` places away (window); `words` words at most."""
+    if scope not in ("full", "section", "window"):
+        raise ValueError("the scope is full, section or window")
+    near = Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(-reach, reach)
+    window = F.array_join(F.collect_list("text").over(near), "\n\n")
+    if scope == "window":
+        return chunks.withColumn("scope", _capped(window, words))
+    # one text for all chunks that share it, made once and joined back
+    own = ["doc_id"] if scope == "full" else ["doc_id", "heading_path"]
+    parts = F.array_sort(F.collect_list(F.struct("chunk", "text")))
+    whole = chunks.groupBy(*own).agg(_capped(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n"), words).alias("scope"))
+    if scope == "full":
+        return chunks.join(whole, "doc_id")
+    rows = chunks.withColumn("__window", F.when(F.coalesce(F.size("heading_path"), F.lit(0)) == 0, _capped(window, words)))
+    rows = rows.join(whole.where(F.size("heading_path") > 0), own, "left")
+    return rows.withColumn("scope", F.coalesce("__window", "scope")).drop("__window")
+
+
 def window_scope(chunks: DataFrame, reach: int) -> DataFrame:
     """chunks with scope: the texts of the chunks at most `reach` places away, in order."""
     w = Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(-reach, reach)
@@ -74,16 +114,16 @@ def field_values(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 PAYLOAD = "page int, width double, height double, blocks array<struct<label:string,bbox:array<double>,text:string>>"
-#: Labels of a sidecar parser and the block types they stand for; any other label is a paragraph.
-LABELS = {"title": "heading", "section_header": "heading", "list": "list_item", "table": "table", "figure": "figure", "header": "header_footer", "footer": "header_footer"}
+#: Labels of a sidecar parser and the block types they stand for; blocks of any other label are skipped.
+LABELS = {"text": "paragraph", "paragraph": "paragraph", "title": "heading", "section_header": "heading", "list": "list_item", "table": "table", "figure": "figure", "header": "header_footer", "footer": "header_footer"}
 
 
 def sidecar_blocks(payloads: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, ord, page, block_type, box, text) of JSON payloads, a page a row; boxes as shares of the page."""
     page = payloads.select(key, F.from_json(payload, PAYLOAD).alias("p")).where("p IS NOT NULL")
     rows = page.select(key, "p.page", "p.width", "p.height", F.posexplode("p.blocks").alias("ord", "b"))
-    kind = F.coalesce(*[F.when(F.lower("b.label") == k, F.lit(v)) for k, v in LABELS.items()], F.lit("paragraph"))
-    return rows.select(key, "page", "ord", kind.alias("block_type"), normalize_box(F.col("b.bbox"), "width", "height").alias("box"), "b.text")
+    kind = F.coalesce(*[F.when(F.lower("b.label") == k, F.lit(v)) for k, v in LABELS.items()])
+    return rows.where(kind.isNotNull()).select(key, "page", "ord", kind.alias("block_type"), normalize_box(F.col("b.bbox"), "width", "height").alias("box"), "b.text")
 
 
 def natural_key(c: Column | str) -> Column:

@@ -90,7 +90,7 @@ def enabled(override: str, role: str) -> Column:
 
 def quality(blocks: DataFrame) -> DataFrame:
     """(doc_id, score): share of blocks with text."""
-    return blocks.groupBy("doc_id").agg(F.round(F.avg((F.length(F.trim("text")) > 0).cast("double")), 6).alias("score"))
+    return blocks.groupBy("doc_id").agg(F.round(F.avg(F.coalesce(F.length(F.trim("text")) > 0, F.lit(False)).cast("double")), 6).alias("score"))
 
 
 def first_heading(blocks: DataFrame) -> DataFrame:

@@ -101,26 +101,32 @@ def grid(rows: list[list[tuple[str, int, int]]], most: int = MOST_CELLS) -> list
     return [[x or "" for x in r] + [""] * (wide - len(r)) for r in out] if wide else None
 
 
+def read_tables(html: str | None) -> list[tuple[list[list[str]], bool]]:
+    """(cells, has_header) of the outer tables of a page. The first row is a header if the table has header cells, or several rows and
+    columns."""
+    p = _Rows()
+    p.feed(html or "")
+    p.close()
+    if p.depth:
+        p._end_row(False)
+    found = ((grid(rows), headed) for rows, headed in p.tables)
+    return [(cells, headed or (len(cells) > 1 and len(cells[0]) > 1)) for cells, headed in found if cells]
+
+
+def first_table(html: str | None) -> tuple[list[list[str]] | None, bool | None]:
+    """The first table of a text, or nothing."""
+    return next(iter(read_tables(html)), (None, None))
+
+
 def page_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, table, n_rows, n_cols, has_header, cells): every outer table of the pages, numbered from 0. The first row is a header if
-    the table has header cells, or several rows and columns."""
+    """(key, table, n_rows, n_cols, has_header, cells): every outer table of the pages, numbered from 0."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             out = []
             for i, page in zip(b.column(0), b.column(1), strict=True):
-                p = _Rows()
-                p.feed(page.as_py() or "")
-                p.close()
-                if p.depth:
-                    p._end_row(False)
-                number = 0
-                for rows, headed in p.tables:
-                    if cells := grid(rows):
-                        n, m = len(cells), len(cells[0])
-                        out.append((i.as_py(), number, n, m, headed or (n > 1 and m > 1), cells))
-                        number += 1
+                out += [(i.as_py(), n, len(cells), len(cells[0]), headed, cells) for n, (cells, headed) in enumerate(read_tables(page.as_py()))]
             kinds = [b.schema.field(0).type, *[pa.int32()] * 3, pa.bool_(), pa.list_(pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds, strict=True)], [key, "table", "n_rows", "n_cols", "has_header", "cells"])
 

@@ -12,11 +12,13 @@ from lodestone.sources.tables import table
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"  #: the public namespace of URLs
 
 
-@query("metadata_errors", """SELECT doc_id, concat_ws('; ', CASE WHEN trim(coalesce(quality::VARCHAR, '')) = '' THEN 'quality is required' END, 'source is unknown',
-  CASE WHEN lang NOT IN ('en', 'fr') THEN 'lang is none of its values' END) AS errors FROM documents LEFT JOIN labels USING (doc_id)""")
+@query("metadata_errors", """SELECT doc_id, concat_ws('; ', CASE WHEN quality IS NULL AND doc_id % 7 <> 0 THEN 'quality is required' END, CASE WHEN doc_id % 2 = 0 THEN 'source is unknown' END,
+  CASE WHEN doc_id % 7 = 0 THEN 'quality is no int' END, CASE WHEN lang NOT IN ('en', 'fr') THEN 'lang is none of its values' END) AS errors FROM documents LEFT JOIN labels USING (doc_id)""")
 def metadata_errors(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    values = F.create_map(*[x for c in ("lang", "source", "quality") for x in (F.lit(c), F.col(c).cast("string"))])
+    quality = F.when(F.col("doc_id") % 7 == 0, "good").otherwise(F.col("quality").cast("string"))
+    values = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("quality"), quality)
+    values = F.map_filter(values, lambda k, _: (k != "source") | (F.col("doc_id") % 2 == 0))
     errors = schema.metadata_errors("values", ["quality"], {"quality": "int"}, {"lang": ["en", "fr"]})
     return docs.withColumn("values", values).select("doc_id", F.array_join(errors, "; ").alias("errors"))
 
@@ -168,13 +170,13 @@ def field_values(spark, sf_dir):
     return assemble.field_values(docs, "doc_id", ["lang", "tags", "quality"])
 
 
-@query("sidecar_blocks", f"""WITH {LINES} SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) - 1)::INTEGER AS ord, CASE WHEN length(text) < 60 THEN 'heading' ELSE 'paragraph' END AS block_type,
- round(least(1e0, length(text) / 400e0), 6) AS x1, round(least(1e0, (ord % 10) / 10e0), 6) AS y0, md5(text) AS text FROM lines""")
+@query("sidecar_blocks", f"""WITH {LINES} SELECT doc_id, page, n AS ord, CASE WHEN length(text) < 60 THEN 'heading' ELSE 'paragraph' END AS block_type, round(least(1e0, length(text) / 400e0), 6) AS x1, round(least(1e0, (ord % 10) / 10e0), 6) AS y0, md5(text) AS text
+ FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) - 1)::INTEGER AS n FROM lines) WHERE length(text) % 5 <> 0""")
 def sidecar_blocks(spark, sf_dir):
     """Pages written as a sidecar's JSON and read back as blocks with boxes."""
     b = blocks.paragraphs(table(spark, sf_dir, "documents"))
     box = F.array(F.lit(0.0), (F.col("ord") % 10) * 80.0, F.length("text").cast("double"), F.lit(800.0))
-    one = F.struct("ord", F.struct(F.when(F.length("text") < 60, "Section_Header").otherwise("text").alias("label"), box.alias("bbox"), "text").alias("b"))
+    one = F.struct("ord", F.struct(F.when(F.length("text") % 5 == 0, "watermark").when(F.length("text") < 60, "Section_Header").otherwise("text").alias("label"), box.alias("bbox"), "text").alias("b"))
     pages = b.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(one)).alias("blocks"))
     payload = F.to_json(F.struct("page", F.lit(400.0).alias("width"), F.lit(800.0).alias("height"), F.transform("blocks", lambda x: x["b"]).alias("blocks")))
     rows = assemble.sidecar_blocks(pages.select("doc_id", payload.alias("payload")), "doc_id", "payload")

@@ -95,21 +95,16 @@ def chunk_enablement(spark, sf_dir):
     return rows.select("doc_id", "ord", blocks.enabled("override", "role").alias("enabled"))
 
 
-@query("parse_quality", f"WITH {LINES} SELECT doc_id, 1e0 AS score FROM lines GROUP BY 1")
-def parse_quality(spark, sf_dir):
-    return blocks.quality(blocks.paragraphs(table(spark, sf_dir, "documents")))
-
-
 @query("page_blocks")
 def page_blocks(spark, sf_dir):
     """Blocks of all pages, with roles."""
     return blocks.roles(parse_html(table(spark, sf_dir, "pages")))
 
 
-@query("page_titles", "SELECT page_id AS doc_id, html LIKE '%<h1>%' AS has_h1 FROM pages WHERE html LIKE '%<h1>%'")
+@query("page_titles", """WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g') AS t FROM pages WHERE html LIKE '%<h1>%')
+ SELECT page_id AS doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS title FROM t""")
 def page_titles(spark, sf_dir):
-    titles = blocks.first_heading(parse_html(table(spark, sf_dir, "pages")))
-    return titles.select("doc_id", (F.length("title") > 0).alias("has_h1"))
+    return blocks.first_heading(parse_html(table(spark, sf_dir, "pages"))).select("doc_id", F.md5("title").alias("title"))
 
 
 @query("page_heading_tree")
@@ -127,9 +122,15 @@ def page_html(spark, sf_dir):
     return blocks.to_html(parse_html(table(spark, sf_dir, "pages")))
 
 
-@query("text_blocks", f"WITH {LINES} SELECT block_type, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '^#{{1,6}}\\s') THEN 'heading' WHEN regexp_matches(text, '^\\s*[-*]\\s') THEN 'list_item' ELSE 'paragraph' END AS block_type FROM lines) GROUP BY 1")
+@query("text_blocks", """WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(10) || '## ') WHEN 1 THEN replace(text, chr(10), chr(10) || ' - ') ELSE text END AS text FROM documents),
+ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+ k AS (SELECT doc_id, CASE WHEN regexp_matches(line, '^#{1,6}\\s') THEN 'heading' WHEN regexp_matches(line, '^\\s*[-*]\\s') THEN 'list_item' ELSE 'paragraph' END AS block_type, line FROM l WHERE trim(line) <> '')
+ SELECT doc_id, block_type, count(*) AS n, sum(CASE WHEN block_type = 'heading' THEN 2 END)::BIGINT AS levels FROM k GROUP BY 1, 2""")
 def text_blocks(spark, sf_dir):
-    return parse_text(table(spark, sf_dir, "documents")).groupBy("block_type").agg(F.count("*").alias("n"))
+    """Blocks by kind of texts a third of which has headings, and another list items."""
+    marked = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("\n"), F.lit("\n## "))).when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit("\n"), F.lit("\n - "))).otherwise(F.col("text"))
+    rows = parse_text(table(spark, sf_dir, "documents").withColumn("text", marked))
+    return rows.groupBy("doc_id", "block_type").agg(F.count("*").alias("n"), F.sum("level").alias("levels"))
 
 
 WINDOWS = """ws AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents),

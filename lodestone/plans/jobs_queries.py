@@ -289,14 +289,18 @@ def storage_footprint(spark, sf_dir):
     return total.orderBy(F.desc("total_bytes"), "doc_id").limit(100)
 
 
-@query("blob_bytes", "WITH r AS (SELECT doc_id, sha256(text) AS h FROM documents UNION SELECT doc_id, sha256(text) FROM documents), b AS (SELECT sha256(text) AS h, min(length(text)) AS n, min(lang) AS lang FROM documents GROUP BY 1) SELECT count(*) AS refs, sum(n) FILTER (lang = 'en')::BIGINT AS original, sum(n) FILTER (lang <> 'en')::BIGINT AS rendered, (SELECT sum(n)::BIGINT FROM b) AS unique_bytes FROM r JOIN b USING (h)")
+@query("blob_bytes", """WITH o AS (SELECT doc_id, sha256(text) AS h, length(text) AS n, 0 AS rendered FROM documents), r AS (SELECT doc_id, sha256(substr(text, 1, 80)) AS h, length(substr(text, 1, 80)) AS n, 1 AS rendered FROM documents WHERE lang <> 'en'),
+ u AS (SELECT * FROM o UNION SELECT * FROM r), b AS (SELECT h, min(n) AS n FROM u GROUP BY 1) SELECT count(*) AS refs, sum(b.n) FILTER (rendered = 0)::BIGINT AS original, sum(b.n) FILTER (rendered = 1)::BIGINT AS rendered, (SELECT sum(n)::BIGINT FROM b) AS unique_bytes FROM u JOIN b USING (h)""")
 def blob_bytes(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"), F.length("text").cast("long").alias("n"))
-    refs = docs.select("doc_id", "h").union(docs.select("doc_id", "h")).distinct()
-    blobs = docs.groupBy("h").agg(F.min("n").alias("n"), F.min("lang").alias("lang"))
+    """Bytes of original and rendered blobs by reference, and of all blobs once; a text may be both."""
+    docs = table(spark, sf_dir, "documents")
+    blob = lambda d, text, rendered: d.select("doc_id", F.sha2(text, 256).alias("h"), F.length(text).cast("long").alias("n"), F.lit(rendered).alias("rendered"))
+    refs = blob(docs, F.col("text"), 0).union(blob(docs.where("lang <> 'en'"), F.substring("text", 1, 80), 1)).distinct()
+    blobs = refs.groupBy("h").agg(F.min("n").alias("n"))
     total = blobs.agg(F.sum("n").alias("unique_bytes"))
-    joined = refs.join(blobs, "h").agg(F.count("*").alias("refs"), F.sum(F.when(F.col("lang") == "en", F.col("n"))).alias("original"), F.sum(F.when(F.col("lang") != "en", F.col("n"))).alias("rendered"))
-    return joined.join(F.broadcast(total), F.lit(True))
+    by = lambda k: F.sum(F.when(F.col("rendered") == k, F.col("n")))
+    joined = refs.drop("n").join(blobs, "h").agg(F.count("*").alias("refs"), by(0).alias("original"), by(1).alias("rendered"))
+    return joined.join(F.broadcast(total), F.lit(True))  # one row each
 
 
 @query("vector_bytes", "SELECT label, count(*) AS points, count(*) * 64 * 4 AS dense_bytes, round(count(*) * 37.5e0 * 8, 3) AS sparse_bytes FROM embeddings GROUP BY 1")

@@ -8,8 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import blocks as furniture
-from lodestone.operators import chunks, linear, passages, tables
+from lodestone.operators import assemble, chunks, figures, linear, passages, tables
 from lodestone.plans.registry import query
+from lodestone.sources import sidecar
 from lodestone.sources.pages import parse_html
 from lodestone.sources.tables import table
 
@@ -85,6 +86,12 @@ def section_paths(spark, sf_dir):
     return rows.select("doc_id", "ord", F.size("section_key").alias("depth"), F.md5(F.array_join("heading_path", " › ")).alias("path"))
 
 
+@query("parse_quality", f"WITH {BLOCKS} SELECT doc_id, round(avg((coalesce(trim(text), '') <> '')::INT), 6) AS score FROM b GROUP BY 1")
+def parse_quality(spark, sf_dir):
+    """Share of blocks with text (tables and figures have none of their own)."""
+    return furniture.quality(conversation_blocks(spark, sf_dir))
+
+
 @query("passage_roles")
 def passage_roles(spark, sf_dir):
     """Roles of the passages of all pages."""
@@ -155,3 +162,93 @@ def document_markdown(spark, sf_dir):
 def document_html(spark, sf_dir):
     rows = linear.to_html(conversation_blocks(spark, sf_dir))
     return linear.html_page(rows.withColumns({"title": F.concat(F.lit("Conversation "), F.col("doc_id").cast("string")), "language": F.lit("en")})).select("doc_id", "html")
+
+
+# figures ------------------------------------------------------------------------------------------------------------------------
+
+
+def conversation_figures(spark, sf_dir):
+    """Figure blocks of the conversations with crops (headers of PNG files) and boxes by the length of their lines."""
+    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    n = F.length("line")
+    pixels = lambda k: F.lpad(F.hex((n * k) % 400), 8, "0")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), pixels(3), pixels(7)))
+    crop = F.when(n % 9 == 0, F.encode("line", "UTF-8")).when(n % 9 < 8, png)
+    ordinal = (F.col("turn") * 1000 + F.col("i")).cast("int").alias("ord")
+    box = F.array(F.lit(0.0), F.lit(1.0), (n % 11) / 10, F.lit(0.0))
+    return lines.select("doc_id", ordinal, F.lit("figure").alias("block_type"), crop.alias("crop"), box.alias("box"), F.when(n % 2 == 0, "fr").alias("language"), "line", F.lit(None).cast(passages.FIGURE).alias("none"))
+
+
+@query("figure_kinds", """WITH l AS (SELECT conv_id AS doc_id, turn * 1000 + i - 1 AS ord, l, length(l) AS n FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations)),
+ s AS (SELECT *, CASE WHEN (n % 11) / 10e0 >= 0.85 THEN 'scanned_text' WHEN n % 9 <> 0 AND least((n * 3) % 400, (n * 7) % 400) < 48 THEN 'decorative' END AS sure, CASE n % 4 WHEN 0 THEN 'chart' WHEN 1 THEN 'diagram' END AS said FROM l WHERE n % 9 <> 8)
+ SELECT doc_id, ord::INTEGER AS ord, coalesce(sure, said, 'photo') AS kind, CASE WHEN sure IS NOT NULL THEN 0.9 WHEN said IS NOT NULL THEN 1.0 ELSE 0.3 END::DOUBLE AS kind_score, CASE coalesce(sure, said, 'photo') WHEN 'scanned_text' THEN 'ocr' WHEN 'decorative' THEN NULL ELSE 'vlm' END AS family, CASE WHEN n % 2 = 0 THEN 'fr' ELSE 'en' END AS language FROM s""")
+def figure_kinds(spark, sf_dir):
+    """Kinds of all figures with a crop: by geometry, else by a word that their lines stand for."""
+    items = figures.figure_items(conversation_figures(spark, sf_dir), "en")
+    lines = conversation_figures(spark, sf_dir).select("doc_id", "ord", F.length("line").alias("n"))
+    word = F.when(F.col("n") % 4 == 0, "A Chart.").when(F.col("n") % 4 == 1, "diagram").otherwise("no idea")
+    kinds = figures.classify(items, lambda rows: rows.join(lines, ["doc_id", "ord"]).withColumn("answer", word).drop("n"))
+    return figures.routed(kinds).select("doc_id", "ord", "kind", "kind_score", "family", "language")
+
+
+@query("enriched_figures")
+def enriched_figures(spark, sf_dir):
+    """Figures after their branches: text read from scans, descriptions of others, as passages show them."""
+    source = conversation_figures(spark, sf_dir).withColumn("figure", F.struct(F.lit("old").alias("description"), F.lit(None).cast("string").alias("ocr_text"), F.lit(None).cast(tables.GRID).alias("data")))
+    items = figures.classify(figures.figure_items(source))
+    found = figures.entries(
+        items, lambda rows: rows.withColumn("ocr_text", F.concat(F.lit("read "), F.col("ord").cast("string"))),
+        lambda rows: rows.withColumns({"description": F.concat(F.lit("shows "), "kind"), "data": F.array(F.array(F.lit("k"), F.col("ord").cast("string")))}),
+    )
+    rows = figures.apply_entries(source.select("doc_id", "ord", "block_type", "figure"), found)
+    text = passages.figure_text("figure", "caption", "text")
+    return rows.withColumns({"caption": F.lit(None).cast("string"), "text": F.lit(None).cast("string")}).select("doc_id", "ord", "kind", text.alias("shown"))
+
+
+# parser answers -----------------------------------------------------------------------------------------------------------------
+
+
+def parser_answers(spark, sf_dir):
+    """An answer for each conversation: a page a turn, its lines as blocks in reverse reading order, labels by their place."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", "\n", -1).alias("l"))
+
+    def block(x, i):
+        names = F.array(*map(F.lit, ("Title", "section_header", "text", "formula", "table", "watermark", "list")))
+        kind = F.element_at(names, (i % 7 + 1).cast("int"))
+        html = F.when(kind == "table", F.concat(F.lit("<table><tr><td colspan=2>"), tables.escaped(F.substring(x, 1, 10)), F.lit("</td></tr><tr><td>1</td></tr></table>")))
+        return F.struct(kind.alias("label"), F.array(F.lit(10.0), F.lit(20.0), F.lit(50.0), (i + 30).cast("double")).alias("bbox"), x.alias("text"), html.alias("html"), F.when((kind == "formula") & (F.length(x) % 2 == 0), F.lit("x^2")).alias("latex"), (-i).cast("double").alias("reading_order"))
+
+    page = F.struct(F.col("turn").cast("int").alias("page_index"), F.lit(100.0).alias("image_width"), F.lit(1000.0).alias("image_height"), F.transform("l", block).alias("blocks"))
+    pages = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", page.alias("p")))).alias("pages"))
+    return pages.select("conv_id", F.to_json(F.struct(F.transform("pages", lambda x: x["p"]).alias("pages"))).alias("answer"))
+
+
+@query("parser_blocks", """WITH l AS (SELECT conv_id, turn, i - 1 AS i, l FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations)),
+ k AS (SELECT *, CASE i % 7 WHEN 0 THEN 'heading' WHEN 1 THEN 'heading' WHEN 2 THEN 'paragraph' WHEN 3 THEN 'formula' WHEN 4 THEN 'table' WHEN 6 THEN 'list_item' END AS kind FROM l)
+ SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, i DESC) - 1)::INTEGER AS ord, kind AS block_type, CASE i % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS level, turn::INTEGER AS page, round((i + 30) / 1000e0, 6) AS bottom,
+  CASE kind WHEN 'table' THEN '' WHEN 'formula' THEN CASE WHEN length(l) % 2 = 0 THEN 'x^2' ELSE coalesce(nullif(l, ''), '') END ELSE l END AS text, CASE WHEN kind = 'table' THEN trim(regexp_replace(substr(l, 1, 10), '\\s+', ' ', 'g')) || '||1|' ELSE '' END AS cells FROM k WHERE kind IS NOT NULL""")
+def parser_blocks(spark, sf_dir):
+    """Blocks of all parser answers: labels that stand for nothing skipped, levels, formulas, tables as grids."""
+    rows = sidecar.document_blocks(parser_answers(spark, sf_dir), "conv_id", "answer")
+    grid = F.coalesce(F.array_join(F.flatten("cells"), "|"), F.lit(""))
+    return rows.select("doc_id", "ord", "block_type", "level", "page", F.round(F.get("box", F.lit(3)), 6).alias("bottom"), F.coalesce("text", F.lit("")).alias("text"), grid.alias("cells"))
+
+
+# context ------------------------------------------------------------------------------------------------------------------------
+
+
+@query("document_anchors")
+def document_anchors(spark, sf_dir):
+    """Anchors of all conversations: a declared title for every third, else their first headings."""
+    blocks = conversation_blocks(spark, sf_dir)
+    cut = chunks.by_section(passages.passages(blocks), 120, 240, 24, 24)
+    docs = blocks.select("doc_id").distinct().withColumn("title", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" Title "), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 3 == 1, " "))
+    anchors = assemble.document_anchors(docs, cut, furniture.first_heading(blocks))
+    return assemble.anchored(cut.select("doc_id", "chunk", "text"), anchors)
+
+
+@query("section_scopes")
+def section_scopes(spark, sf_dir):
+    """What a model would read to place each chunk of the conversations."""
+    cut = chunks.by_section(passages.passages(conversation_blocks(spark, sf_dir)), 60, 120, 12, 12).where("role = 'body'").select("doc_id", "chunk", "text", "heading_path")
+    return assemble.scoped(cut, "section", 1, 200)

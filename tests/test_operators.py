@@ -247,7 +247,7 @@ def test_grid_payload_and_points(spark):
 
     df = spark.createDataFrame([([["a", "b|c"], ["d\ne"]],), ([],), (None,)], "c array<array<string>>")
     assert [r[0] for r in df.select(assemble.markdown_grid("c")).collect()] == ["| a | b\\|c |\n| --- | --- |\n| d e |  |", None, None]
-    page = '{"page": 2, "width": 10, "height": 20, "blocks": [{"label": "Title", "bbox": [5, 0, 1, 30], "text": "t"}, {"label": "?", "bbox": null, "text": null}]}'
+    page = '{"page": 2, "width": 10, "height": 20, "blocks": [{"label": "Title", "bbox": [5, 0, 1, 30], "text": "t"}, {"label": "text", "bbox": null, "text": null}, {"label": "?", "bbox": null, "text": "skipped"}]}'
     got = assemble.sidecar_blocks(spark.createDataFrame([(1, page), (2, None), (3, "{bad")], "k int, p string"), "k", "p").where("k = 1").orderBy("ord").collect()
     assert [(r["block_type"], [round(x, 6) for x in r["box"]]) for r in got] == [("heading", [0.1, 0.0, 0.5, 1.0]), ("paragraph", [0.0, 0.0, 1.0, 1.0])]
     names = ["a:1", "é", ""]
