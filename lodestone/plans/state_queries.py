@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import dot
-from lodestone.operators import grid, trees
+from lodestone.operators import accounts, conditions, grid, trees
+from lodestone.operators.conditions import Condition
 from lodestone.plans.registry import query
 from lodestone.sources import runs
 from lodestone.sources.tables import table
@@ -99,3 +100,57 @@ def values_similar_pairs(spark, sf_dir):
     words = lambda name: table(spark, sf_dir, name).select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
     counts = words("conversations").select(F.explode("w").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
     return grid.similar_pairs(words("benchmark").select(F.get("w", F.lit(0)).alias("needle")), counts)
+
+
+# metadata, usage, storage -------------------------------------------------------------------------------------------------------
+
+TYPES = {"tags": "keyword_list", "numbers": "integer_list", "size": "integer", "lang": "enum", "seen": "datetime"}
+
+
+def _values(spark, sf_dir):
+    """Metadata of all documents as JSON values."""
+    docs = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    seen = F.date_format(F.timestamp_seconds(1_700_000_000 + i * 86_400), "yyyy-MM-dd'T'HH:mm:ss")
+    pairs = {"tags": F.array(F.col("lang"), F.concat(F.lit("g"), (i % 5).cast("string"))), "numbers": F.array(i % 7, i % 11), "size": F.col("n_chars"), "lang": F.col("lang"), "seen": seen}
+    json = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', 1)
+    each = F.array(*[F.struct(F.lit(k).alias("field"), json(c).alias("value")) for k, c in pairs.items()])
+    return docs.select("doc_id", F.inline(each))
+
+
+@query("metadata_conditions", """SELECT doc_id FROM documents WHERE (lang IN ('en', 'fr') OR doc_id % 5 = 3) AND (doc_id % 7 IN (2, 5) OR doc_id % 11 IN (2, 5)) AND n_chars >= 300 AND lang <> 'de' AND contains(lang, 'e') AND to_timestamp(1700000000 + doc_id * 86400)::TIMESTAMP <= TIMESTAMP '2024-05-01 00:00:00'""")
+def metadata_conditions(spark, sf_dir):
+    """Documents by conditions on lists of texts and of numbers, sizes, labels and times."""
+    asked = [Condition("tags", "in", ["en", "fr", "g3"]), Condition("numbers", "in", [2, 5]), Condition("size", "gte", 300), Condition("lang", "contains", "E"), Condition("lang", "in", ["en", "es", "fr"]), Condition("seen", "lte", "2024-05-01T00:00:00")]
+    return conditions.meeting(table(spark, sf_dir, "documents").select("doc_id"), _values(spark, sf_dir), "doc_id", asked, TYPES)
+
+
+@query("usage_tree", """WITH t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'small' WHEN 'assistant' THEN 'large' ELSE 'none' END AS model, length(text) AS p, turn + 1 AS c, CASE WHEN turn % 4 = 3 THEN 2 ELSE 0 END AS pages FROM conversations)
+ SELECT conv_id, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens, round(sum(CASE WHEN model = 'none' THEN NULL WHEN pages > 0 THEN pages * CASE model WHEN 'large' THEN 0.25e0 ELSE NULL END WHEN model = 'small' THEN (p * 2e0 + c * 4e0) / 1e6 ELSE (p * 10e0 + c * 30e0) / 1e6 END), 6) AS cost, count(*) AS leaves FROM t GROUP BY 1""")
+def usage_tree(spark, sf_dir):
+    """Usage of every conversation as a tree of records: even turns hold the odd ones that follow them."""
+    turns = table(spark, sf_dir, "conversations")
+    model = F.when(F.col("role") == "user", "small").when(F.col("role") == "assistant", "large").otherwise("none")
+    usage = F.struct(model.alias("model"), F.length("text").alias("prompt_tokens"), (F.col("turn") + 1).alias("completion_tokens"), F.when(F.col("turn") % 4 == 3, 2).otherwise(0).alias("pages"))
+    record = turns.select("conv_id", "turn", usage.alias("usage"))
+    leaf = record.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("pair")).agg(F.array_sort(F.collect_list(F.struct("turn", "usage"))).alias("r"))
+    pair = leaf.select("conv_id", F.struct(F.get("r", F.lit(0))["usage"].alias("usage"), F.transform(F.slice("r", F.lit(2), F.size("r")), lambda x: F.struct(x["usage"].alias("usage"))).alias("children")).alias("node"))
+    runs_ = pair.groupBy("conv_id").agg(F.to_json(F.struct(F.array(F.struct(F.collect_list("node").alias("children"))).alias("children"))).alias("record"))
+    rates = spark.createDataFrame([("small", 2.0, 4.0, None), ("large", 10.0, 30.0, 0.25)], "model string, per_prompt double, per_completion double, per_page double")
+    return accounts.usage_totals(accounts.usage_leaves(runs_, "conv_id", "record"), "conv_id", rates)
+
+
+@query("storage_rollup", """WITH docs AS (SELECT doc_id, 'documents' AS bucket, 16 + octet_length(encode(text)) + octet_length(encode(lang)) + octet_length(encode(source)) AS b FROM documents),
+ lines AS (SELECT doc_id, 'blocks' AS bucket, 16 + octet_length(encode(l)) AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)),
+ words AS (SELECT doc_id, 'chunks' AS bucket, 24 AS b FROM (SELECT doc_id, unnest(range(0, greatest(0, len(string_split(text, ' ')) - 96) + 1, 96)) FROM documents)),
+ labels_ AS (SELECT doc_id, 'metadata' AS bucket, 8 + CASE WHEN quality IS NULL THEN 0 ELSE 8 END + CASE WHEN toxic IS NULL THEN 0 ELSE 8 END AS b FROM labels),
+ jobs AS (SELECT user_id AS doc_id, 'observability' AS bucket, 24 + octet_length(encode(event_type)) AS b FROM events)
+ SELECT doc_id, bucket, count(*) AS rows, sum(b)::BIGINT AS bytes FROM (SELECT * FROM docs UNION ALL SELECT * FROM lines UNION ALL SELECT * FROM words UNION ALL SELECT * FROM labels_ UNION ALL SELECT * FROM jobs) GROUP BY 1, 2""")
+def storage_rollup(spark, sf_dir):
+    """Bytes of every document in its row, lines, chunks, labels and jobs (an event's user stands for its document)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(F.split("text", " ", -1)) - F.lit(96)), F.lit(96))
+    cut = docs.select("doc_id", F.posexplode(starts).alias("chunk", "start"))
+    jobs = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", "ts", "event_type")
+    return accounts.footprint([("documents", docs), ("blocks", lines), ("chunks", cut), ("metadata", table(spark, sf_dir, "labels")), ("observability", jobs)], "doc_id")

@@ -59,3 +59,31 @@ def document_blocks(answers: DataFrame, key: str, payload: str, labels: Labels =
     rows = rows.withColumn("t", read(F.when(is_("table"), F.col("b.html"))))
     block_id = F.concat_ws(":", F.col("doc_id").cast("string"), F.concat(F.lit("p"), "page"), F.concat(F.lit("b"), "ord"))
     return rows.select("doc_id", "ord", block_id.alias("block_id"), "block_type", "level", "page", normalize_box(F.col("b.bbox"), "w", "h").alias("box"), text.alias("text"), "t.cells", F.when(F.col("t.cells").isNotNull(), F.col("t.has_header")).alias("has_header"), figure.alias("figure"))
+
+
+# Labels of layout items and the block types they stand for.
+ITEMS = {
+    "title": "heading", "section_header": "heading", "text": "paragraph", "paragraph": "paragraph", "list_item": "list_item", "table": "table", "picture": "figure", "figure": "figure", "chart": "figure",
+    "caption": "caption", "code": "code", "formula": "formula", "page_header": "header_footer", "page_footer": "header_footer",
+}
+ITEM = "label:string,level:int,text:string,page_no:int,bbox:struct<l:double,t:double,r:double,b:double,origin:string>"
+
+
+def item_blocks(answers: DataFrame, key: str, payload: str) -> DataFrame:
+    """(doc_id, ord, block_type, level, page, box, text) of layout items (JSON with pages by number and items in reading order).
+
+    A title is level 1, a section header one more than its own level. Pages count from 0. A box from the lower left corner is
+    turned over; without a page size its numbers are shares already; a box that is not finite, or none, is the whole page."""
+    shape = f"pages map<string,struct<width:double,height:double>>, items array<struct<{ITEM}>>"
+    rows = answers.select(F.col(key).alias("doc_id"), F.from_json(payload, shape).alias("a")).select("doc_id", "a.pages", F.posexplode("a.items").alias("place", "x"))
+    label = F.lower(F.trim("x.label"))
+    kind = F.coalesce(*[F.when(label == k, t) for k, t in ITEMS.items()])
+    rows = rows.withColumn("block_type", kind).where("block_type IS NOT NULL")
+    size = F.try_element_at("pages", F.col("x.page_no").cast("string"))
+    side = lambda c: F.when(size[c] > 0, size[c]).otherwise(1.0)
+    upside = F.upper(F.coalesce("x.bbox.origin", F.lit("BOTTOMLEFT"))).contains("BOTTOM")
+    y = lambda c: F.when(upside, side("height") - F.col(f"x.bbox.{c}")).otherwise(F.col(f"x.bbox.{c}"))
+    box = normalize_box(F.array(F.col("x.bbox.l"), y("t"), F.col("x.bbox.r"), y("b")), side("width"), side("height"))
+    level = F.when(F.col("block_type") == "heading", F.coalesce(F.col("x.level") + 1, F.lit(1)))
+    order = Window.partitionBy("doc_id").orderBy("place")
+    return rows.select("doc_id", (F.row_number().over(order) - 1).cast("int").alias("ord"), "block_type", level.cast("int").alias("level"), F.greatest(F.coalesce("x.page_no", F.lit(1)) - 1, F.lit(0)).alias("page"), box.alias("box"), F.nullif(F.col("x.text"), F.lit("")).alias("text"))
