@@ -1,9 +1,11 @@
-"""Licence scans: a generalised suffix automaton of licence notices, matching statistics, chained spans.
+"""Licence scans: a generalised suffix automaton of licence texts, matching statistics, chained spans.
 
-The automaton holds every substring (in words) of the notice templates. Each file's words are streamed through it: the
-matching statistic at a word is the length of the longest template substring that ends there. Local maxima of at
-least MIN_MATCH words are placed in their template and chained (same template, rising template position, small gaps);
-a chain that covers enough of its template becomes a span with that template's label.
+The automaton holds every substring (in words) of the templates: whole licence texts and one-line notices. Each file's words are
+streamed through it; at every word the matching statistic and the suffix links below it give, for each place of each
+template, how many words up to here stand there too. A match that grows no further, of MIN_MATCH words at least, is an anchor.
+Anchors of one template are chained by dynamic programming (text and template positions rise, gaps of MAX_GAP words at
+most, overlaps count once), so any number of chains is open and every place of a template may be used; a chain that covers
+MIN_COVER of its template (all of a short one) becomes a span with that template's label, unless another covers more there.
 
 Defined cases: a null or empty text has no words, no places, null first_word and last_word, empty labels and score 0.
 Repeated rows each give a row; extra columns are ignored; no text is cut.
@@ -14,32 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import read, small, texts
+from lodestone.llm.licence_texts import NOTICES, TEXTS
 
 # The contract's phrases and labels.
 PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Well-known notice lines, by label. Several templates may share a label.
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-2", "under the terms of the gnu general public license version 2 as published by the free software foundation"),
-    ("lgpl", "gnu lesser general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-]
+TEMPLATES = [*TEXTS, *NOTICES]
 
 MIN_MATCH = 3  #: words of a match that may start or extend a chain
 MAX_GAP = 4  #: words between two matches of a chain, in the text and in the template
 MIN_COVER = 0.6  #: share of the template's words that a chain must cover
+WHOLE = 20  #: words under which a template must be covered whole
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -110,6 +97,56 @@ class SuffixAutomaton:
             out.append((len(seq) - 1, n, s))
         return out
 
+    def anchors(self, seq: list[bytes]) -> list[tuple[int, int, int, int]]:
+        """(template, end in it, end in the text, words) of every match that grows no further, by end in the text."""
+        out, s, n, known, links, edges, length = [], 0, 0, self.next[0], self.link, self.next, self.length
+        here: dict[tuple[int, int], int] = {}
+        for i, w in enumerate([*seq, None]):
+            if n == 0 and w not in known:
+                continue
+            while s > 0 and w not in edges[s]:
+                s = links[s]
+                n = length[s]
+            s, n = (edges[s][w], n + 1) if w in edges[s] else (0, 0)
+            before, here = here, {}
+            at, size = s, n
+            while size >= MIN_MATCH:
+                for place in self.ends[at]:
+                    here.setdefault(place, size)  # the longest first: shorter suffixes hold the same places
+                at = links[at]
+                size = length[at]
+            out += [(t, e, i - 1, k) for (t, e), k in before.items() if here.get((t, e + 1), 0) != k + 1]
+        return out
+
+
+def chains(anchors: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(first word, end word, words covered) of the best disjoint chains of one template's anchors (end in it, end in the text, words),
+    by end in the text. Of chains that share text the one that covers more stays."""
+    best: list[tuple[int, int]] = []  # words covered by the best chain that ends with each anchor, and where it starts
+    ended: list[bool] = []
+    low = 0
+    widest = max((k for *_, k in anchors), default=0)
+    for j, (e, i, k) in enumerate(anchors):
+        covered, start, came = k, i - k + 1, -1
+        while anchors[low][1] < i - widest - MAX_GAP:
+            low += 1
+        for m in range(low, j):
+            f, h, _ = anchors[m]
+            gap, step = i - k - h, e - k - f  # words between the two in the text and in the template, negative if they overlap
+            more = k + min(0, gap, step)
+            if h < i and f < e and gap <= MAX_GAP and step <= MAX_GAP and more > 0 and (best[m][0] + more, -best[m][1]) > (covered, -start):
+                covered, start, came = best[m][0] + more, best[m][1], m
+        best.append((covered, start))
+        ended.append(True)
+        if came >= 0:
+            ended[came] = False
+    found = sorted((-c, s, anchors[j][1] + 1) for j, (c, s) in enumerate(best) if ended[j])
+    out: list[tuple[int, int, int]] = []
+    for c, s, e in found:
+        if all(e <= a or s >= b for a, b, _ in out):
+            out.append((s, e, -c))
+    return sorted(out)
+
 
 class Scanner:
     """Finds base places of the phrases and template spans in one text at a time."""
@@ -117,7 +154,7 @@ class Scanner:
     def __init__(self, phrases: dict[str, str], templates: list[tuple[str, str]]):
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
         self.labels = [label for label, _ in templates]
-        seqs = [t.encode().split() for _, t in templates]
+        seqs = [words(t.encode()) for _, t in templates]
         self.sizes = [len(s) for s in seqs]
         self.automaton = SuffixAutomaton(seqs)
 
@@ -137,24 +174,19 @@ class Scanner:
         return sorted(out)
 
     def spans(self, seq: list[bytes]) -> list[tuple[int, int, str, float]]:
-        """Covered template spans: (first word, end word, label, share of the template covered)."""
-        chains: dict[int, list] = {}
-        done = []
-        for end, n, state in self.automaton.matches(seq):
-            for t in {t for t, _ in self.automaton.ends[state]}:
-                ends = sorted(e for u, e in self.automaton.ends[state] if u == t)
-                chain = chains.get(t)
-                if chain:
-                    start, last, place, covered = chain
-                    fit = [e for e in ends if e > place and 0 <= max(e - n, place) - place <= MAX_GAP]
-                    if fit and end - n - last <= MAX_GAP:
-                        new = min(n, fit[0] - place, end - last)
-                        chains[t] = [start, end, fit[0], covered + new]
-                        continue
-                    done.append((t, chain))
-                chains[t] = [end - n + 1, end, ends[0], n]
-        done += chains.items()
-        return sorted((start, last + 1, self.labels[t], min(1.0, covered / self.sizes[t])) for t, (start, last, _, covered) in done if covered >= MIN_COVER * self.sizes[t])
+        """Covered template spans: (first word, end word, label, share of the template covered). Of spans that share text the one with
+        more covered words stays, then the one with the larger share of its template."""
+        own: dict[int, list] = {}
+        for t, e, i, k in self.automaton.anchors(seq):
+            own.setdefault(t, []).append((e, i, k))
+        least = lambda t: MIN_COVER * self.sizes[t] if self.sizes[t] >= WHOLE else self.sizes[t]
+        found = sorted((-c, -c / self.sizes[t], s, e, t) for t, anchors in own.items() for s, e, c in chains(anchors) if c >= least(t))
+        out: list[tuple[int, int, int]] = []
+        for _, _, s, e, t in found:
+            if all(e <= a or s >= b for a, b, _ in out):
+                out.append((s, e, t))
+        cover = {(s, e, t): -share for _, share, s, e, t in found}
+        return sorted((s, e, self.labels[t], min(1.0, cover[s, e, t])) for s, e, t in out)
 
     def scan(self, text: bytes) -> dict:
         seq = words(text)

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.llm import entries, filter_audit, period_runs, substring_dedup
+from lodestone.llm import entries, filter_audit, licenses, period_runs, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 given_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
@@ -248,3 +248,61 @@ def test_op13(spark):
     want = plain_dedup([(d["doc_id"], d["text"]) for d in documents()])
     assert got == sorted(((i, n, g, hashlib.sha256(t.encode()).hexdigest()) for i, n, g, t in want), key=repr)
     assert sum(r[2] for r in got)
+
+
+# licence spans ------------------------------------------------------------------------------------------------------------------
+
+
+def plain_anchors(text, templates, least):
+    out = []
+    for t, template in enumerate(templates):
+        for i in range(len(text)):
+            for e in range(len(template)):
+                k = 0
+                while k <= min(i, e) and text[i - k] == template[e - k]:
+                    k += 1
+                grows = i + 1 < len(text) and e + 1 < len(template) and text[i + 1] == template[e + 1]
+                if k >= least and not grows:
+                    out.append((t, e, i, k))
+    return sorted(out)
+
+
+def plain_best(anchors, gap):
+    """The most words that a chain of anchors covers, over all chains."""
+
+    def grow(last, covered):
+        best = covered
+        for e, i, k in anchors:
+            if i > last[1] and e > last[0] and i - k - last[1] <= gap and e - k - last[0] <= gap and (more := k + min(0, i - k - last[1], e - k - last[0])) > 0:
+                best = max(best, grow((e, i), covered + more))
+        return best
+
+    return max((grow((e, i), k) for e, i, k in anchors), default=0)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=25), st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), min_size=3, max_size=9), min_size=1, max_size=3))
+def test_anchors_are_all_matches(text, templates):
+    assert sorted(licenses.SuffixAutomaton(templates).anchors(text)) == plain_anchors(text, templates, licenses.MIN_MATCH)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=18), st.lists(st.sampled_from("abcd"), min_size=4, max_size=12))
+def test_chains_cover_most(text, template):
+    anchors = [x[1:] for x in plain_anchors(text, [template], 2)]
+    anchors.sort(key=lambda x: x[1])
+    found = licenses.chains(anchors)
+    assert max((c for *_, c in found), default=0) == plain_best(anchors, licenses.MAX_GAP)
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_licences_within_other_text(spark):
+    mit, bsd = (next(t for label, t in licenses.TEMPLATES if label == x) for x in ("mit", "bsd-3"))
+    words = mit.split()
+    edited = " ".join("changed" if i % 23 == 5 else w for i, w in enumerate(words))
+    texts = {1: f"Copyright me. {mit} The end. {bsd}", 2: edited, 3: " ".join(words[:60]), 4: "permission is hereby granted free of charge", 5: f"{mit}\n{mit}", 6: None, 7: "this work is licensed under a creative commons attribution noncommercial 4 0 international license"}
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[1]["labels"] == "bsd-3,mit" and got[1]["score"] == 1.0 and got[2]["labels"] == "mit" and 0.8 < got[2]["score"] < 1
+    assert got[3]["labels"] == got[4]["labels"] == got[6]["labels"] == "" and got[4]["score"] == 0
+    n = len(licenses.words(mit.encode()))
+    assert [(s["start"], s["end"]) for s in got[5]["spans"]] == [(0, n), (n, 2 * n)] and got[7]["labels"] == "cc-by-nc"
