@@ -68,20 +68,33 @@ def chrome_runs(blocks: DataFrame, least: int = 3) -> DataFrame:
     return runs.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "island"))).where(F.col("n") >= least).select("doc_id", "ord")
 
 
+def with_signals(blocks: DataFrame, pages: int = 3, run: int = 3) -> DataFrame:
+    """blocks with what tells furniture: repeated (its normal form, not blank, stands on so many pages of the document), chrome (by itself
+    and no heading) and in_run (of so many label-like blocks in a row). All of it is windows over one shuffle by document."""
+    candidate = F.col("block_type").isin("paragraph", "list_item", "code")
+    rows = blocks.repartition("doc_id")  # the windows' own shuffle, before the work on texts instead of after it
+    rows = rows.withColumn("__norm", F.coalesce(normalize("text"), F.lit("")))
+    rows = rows.withColumn("__chrome", F.coalesce(is_chrome("text", F.col("__norm")), F.lit(False)))
+    rows = rows.withColumn("__label", (F.col("__chrome") | is_short(F.col("__norm"))) & candidate)
+    order, own = Window.partitionBy("doc_id").orderBy("ord"), Window.partitionBy("doc_id", "__label").orderBy("ord")
+    rows = rows.withColumn("__island", F.row_number().over(order) - F.row_number().over(own))
+    in_run = F.col("__label") & (F.count("*").over(Window.partitionBy("doc_id", "__label", "__island")) >= run)
+    stands = F.size(F.collect_set("page").over(Window.partitionBy("doc_id", "__norm")))
+    rows = rows.withColumns({"in_run": in_run, "repeated": (F.col("__norm") != "") & (stands >= pages), "chrome": F.col("__chrome") & (F.col("block_type") != "heading")})
+    return rows.drop("__norm", "__chrome", "__label", "__island")
+
+
 def roles(blocks: DataFrame) -> DataFrame:
     """blocks with role: header_footer, then a heading of contents as toc, then repeated text, then chrome, then body; a heading is no chrome.
     passages.with_roles takes in all that stands below a heading of contents."""
-    heading = F.col("block_type") == "heading"
-    repeated = repeated_texts(blocks).select("doc_id", "norm", F.lit(True).alias("repeated"))
-    runs = chrome_runs(blocks).withColumn("run", F.lit(True))
-    rows = blocks.withColumn("norm", normalize("text")).join(repeated, ["doc_id", "norm"], "left").join(runs, ["doc_id", "ord"], "left")
+    contents = (F.col("block_type") == "heading") & F.lower(F.trim("text")).isin(*TOC_TITLES)
     role = (
         F.when(F.col("block_type") == "header_footer", "header_footer")
-        .when(heading & F.col("norm").isin(*TOC_TITLES), "toc")
-        .when(F.coalesce("repeated", F.lit(False)) | F.coalesce("run", F.lit(False)) | (is_chrome("text", F.col("norm")) & ~heading), "boilerplate")
+        .when(contents, "toc")
+        .when(F.col("repeated") | F.col("chrome") | F.col("in_run"), "boilerplate")
         .otherwise("body")
     )
-    return rows.withColumn("role", role).drop("norm", "repeated", "run")
+    return with_signals(blocks).withColumn("role", role).drop("repeated", "chrome", "in_run")
 
 
 def enabled(override: str, role: str) -> Column:

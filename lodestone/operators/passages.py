@@ -56,23 +56,13 @@ def with_captions(blocks: DataFrame) -> DataFrame:
 def with_roles(blocks: DataFrame, pages: int = 3, run: int = 3) -> DataFrame:
     """blocks (with heading_path) with role: header_footer, then toc (any open heading is a title of contents), then text that
     stands on several pages or chrome as boilerplate, then body. A heading is no chrome."""
-    heading = F.col("block_type") == "heading"
-    norm = F.coalesce(normalize("text"), F.lit(""))
-    rows = blocks.withColumn("__norm", norm).withColumn("__chrome", F.coalesce(furniture.is_chrome("text", F.col("__norm")), F.lit(False)))
-    label = (F.col("__chrome") | furniture.is_short(F.col("__norm"))) & F.col("block_type").isin("paragraph", "list_item", "code")
-    rows = rows.withColumn("__label", label)
-    order, own = Window.partitionBy("doc_id").orderBy("ord"), Window.partitionBy("doc_id", "__label").orderBy("ord")
-    rows = rows.withColumn("__island", F.row_number().over(order) - F.row_number().over(own))
-    rows = rows.withColumn("__run", F.col("__label") & (F.count("*").over(Window.partitionBy("doc_id", "__label", "__island")) >= run))
-    rows = rows.withColumn("__pages", F.size(F.collect_set("page").over(Window.partitionBy("doc_id", "__norm"))))
     role = (
         F.when(F.col("block_type") == "header_footer", "header_footer")
         .when(F.exists("heading_path", lambda h: F.lower(F.trim(h)).isin(*furniture.TOC_TITLES)), "toc")
-        .when((F.col("__norm") != "") & (F.col("__pages") >= pages), "boilerplate")
-        .when((F.col("__chrome") & ~heading) | F.col("__run"), "boilerplate")
+        .when(F.col("repeated") | F.col("chrome") | F.col("in_run"), "boilerplate")
         .otherwise("body")
     )
-    return rows.withColumn("role", role).drop("__norm", "__chrome", "__label", "__island", "__run", "__pages")
+    return furniture.with_signals(blocks, pages, run).withColumn("role", role).drop("repeated", "chrome", "in_run")
 
 
 def figure_text(figure: str = "figure", caption: str = "caption", text: str = "text") -> Column:

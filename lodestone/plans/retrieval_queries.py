@@ -8,7 +8,7 @@ from lodestone.functions.text import FOLD, LIGATURES, STOP_WORDS, surface
 from lodestone.operators import filters, retrieval
 from lodestone.plans.registry import query
 from lodestone.sources import postings as stored
-from lodestone.sources.tables import table
+from lodestone.sources.tables import dealt, table
 from lodestone.streaming.streams import shared_folder
 
 ASKED = "The Apache license of worthless things and the great token"
@@ -41,14 +41,14 @@ RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)"
 
 def lexical(spark: SparkSession, sf_dir: str, text: str = ASKED, analyzer=surface) -> DataFrame:
     """Scores of one stated query; postings of its terms only."""
-    docs, words = table(spark, sf_dir, "documents"), list(dict.fromkeys(analyzer(text)[0]))
+    docs, words = dealt(spark, sf_dir, "documents"), list(dict.fromkeys(analyzer(text)[0]))
     asked = spark.createDataFrame([(0, w) for w in words], "query_id long, term string")
     return retrieval.lexical_scores(retrieval.postings(docs, "doc_id", analyzer=analyzer, only=words), asked, "doc_id", docs.count())
 
 
 @query("bm25_postings", f"WITH {POSTINGS} SELECT term, count(*) AS documents, round(sum(weight), 4) AS weight FROM posts GROUP BY term")
 def bm25_postings(spark, sf_dir):
-    posts = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id")
+    posts = retrieval.postings(dealt(spark, sf_dir, "documents"), "doc_id")
     return posts.groupBy("term").agg(F.count("*").alias("documents"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
@@ -103,7 +103,7 @@ def kept(rows: DataFrame, name: str) -> DataFrame:
 
 
 def branches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(spark, sf_dir, "documents")
     posts = kept(retrieval.postings(docs, "doc_id"), "postings")
     asked = posts.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), "term")
     words = retrieval.lexical_scores(posts, asked, "doc_id", docs.count())
@@ -234,14 +234,14 @@ STEMMED = "Les marchés publics et la nation des réseaux thionly tokens license
 @query("stem_postings")
 def stem_postings(spark, sf_dir):
     """Documents and weight of every stem."""
-    posts = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", analyzer=stems.analyze)
+    posts = retrieval.postings(dealt(spark, sf_dir, "documents"), "doc_id", analyzer=stems.analyze)
     return posts.groupBy("term").agg(F.count("*").alias("documents"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 @query("stem_search")
 def stem_search(spark, sf_dir):
     """The ten best documents by stems, over a stored index of which the asked terms are read."""
-    docs, path = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/stems"
+    docs, path = dealt(spark, sf_dir, "documents"), f"{shared_folder(spark)}/stems"
     stored.store(retrieval.postings(docs, "doc_id", analyzer=stems.analyze), path)
     words = list(dict.fromkeys(stems.analyze(STEMMED)[0]))
     asked = spark.createDataFrame([(0, w) for w in words], "query_id long, term string")
