@@ -25,24 +25,28 @@ def _settings(spark, sf_dir):
     return rows.select("conv_id", tree("b", 1).alias("before"), tree("a", 2).alias("after"))
 
 
-@query("config_tree_diff", """WITH t AS (SELECT conv_id, turn, length(text) AS n, turn % 5 <> 4 AS inb, turn % 4 <> 3 AS ina, role FROM conversations), s AS (SELECT DISTINCT conv_id FROM conversations),
+CHANGES = """WITH t AS (SELECT conv_id, turn, length(text) AS n, turn % 5 <> 4 AS inb, turn % 4 <> 3 AS ina, role FROM conversations), s AS (SELECT DISTINCT conv_id FROM conversations),
  any_both AS (SELECT conv_id, count(*) FILTER (inb) AS nb, count(*) FILTER (ina) AS na FROM t GROUP BY 1),
  c AS (SELECT conv_id, '/pipeline/nodes/t' || turn AS path, CASE WHEN inb THEN 'removed' ELSE 'added' END AS change FROM t WHERE inb <> ina
   UNION ALL SELECT conv_id, '/pipeline/nodes/t' || turn || '/config/size', 'changed' FROM t WHERE inb AND ina AND turn % 2 = 1
   UNION ALL SELECT conv_id, '/pipeline/nodes/t' || turn || '/api_key', 'changed' FROM t WHERE inb AND ina AND turn % 3 = 1
   UNION ALL SELECT conv_id, '/pipeline/order', 'changed' FROM s UNION ALL SELECT conv_id, '/search/a~1b', 'changed' FROM s WHERE conv_id % 2 = 1)
- SELECT conv_id, path, change FROM c JOIN any_both USING (conv_id) WHERE nb > 0 AND na > 0""")
+"""
+
+
+@query("config_tree_diff", f"{CHANGES} SELECT conv_id, path, change FROM c JOIN any_both USING (conv_id) WHERE nb > 0 AND na > 0")
 def config_tree_diff(spark, sf_dir):
     """Paths in which the settings of every conversation differ."""
     return trees.json_changes(_settings(spark, sf_dir), "conv_id", "before", "after").select("conv_id", "path", "change")
 
 
-@query("config_change_labels")
+@query("config_change_labels", f"""{CHANGES}, l AS (SELECT conv_id, path, change, CASE WHEN path LIKE '/pipeline/nodes/%' THEN 'pipeline:' || split_part(path, '/', 4) WHEN path LIKE '/pipeline/%' THEN 'pipeline:(graph)' ELSE split_part(path, '/', 2) END AS label FROM c JOIN any_both USING (conv_id) WHERE nb > 0 AND na > 0)
+ SELECT conv_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, count(*) FILTER (path LIKE '%/api_key') AS masked FROM l GROUP BY 1""")
 def config_change_labels(spark, sf_dir):
     """What areas changed, and how the masked secrets show."""
     changes = trees.json_changes(_settings(spark, sf_dir), "conv_id", "before", "after")
     shown = changes.groupBy("conv_id").agg(F.count_if(F.col("before") == trees.MASK).alias("masked"))
-    return trees.change_labels(changes, "conv_id").join(shown, "conv_id")
+    return trees.change_labels(changes, "conv_id").join(shown, "conv_id").withColumn("labels", F.array_join("labels", ","))
 
 
 FIELDS = [

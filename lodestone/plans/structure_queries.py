@@ -158,10 +158,29 @@ def document_markdown(spark, sf_dir):
     return linear.to_markdown(conversation_blocks(spark, sf_dir)).withColumn("markdown", F.md5("markdown"))
 
 
-@query("document_html")
+def _html_grid(words: str, headed: str, caption: str = "''") -> str:
+    """SQL of the HTML table of a list of words, three a row."""
+    wide = f"least(3, len({words}))"
+    row = lambda k, tag: f"'<tr>' || array_to_string(list_transform(range(1, {wide} + 1), lambda j: '<{tag}>' || {_ESCAPED.format(f'coalesce({words}[3 * {k} + j], chr(0))')} || '</{tag}>'), '') || '</tr>'"
+    rows = lambda first: f"array_to_string(list_transform(range({first}, (len({words}) + 2) // 3), lambda k: {row('k', 'td')}), '')"
+    grid = f"CASE WHEN {headed} THEN '<thead>' || {row('0', 'th')} || '</thead><tbody>' || {rows(1)} ELSE '<tbody>' || {rows(0)} END"
+    return f"replace('<table>' || {caption} || {grid} || '</tbody></table>', chr(0), '')"
+
+
+_SAID = "nullif(trim({}), '')"
+_HTML = f"""{BLOCKS}, {CAPTIONS}, prose AS (SELECT *, nullif(caption, '') AS cap, CASE WHEN kind = 'figure' AND n % 3 = 0 THEN {_SAID.format('substr(line, 1, 30)')} END AS description, CASE WHEN kind = 'figure' AND n % 5 < 2 THEN {_SAID.format('substr(line, 5, 20)')} END AS ocr FROM full_blocks),
+ part AS (SELECT doc_id, ord, kind, CASE kind WHEN 'heading' THEN '<h' || level || '>' || {_ESCAPED.format('trim(text)')} || '</h' || level || '>' WHEN 'list_item' THEN '<li>' || {_ESCAPED.format('trim(text)')} || '</li>' WHEN 'caption' THEN '<p><em>' || {_ESCAPED.format('trim(text)')} || '</em></p>'
+  WHEN 'table' THEN {_html_grid('ws', 'n % 2 = 0', f"coalesce('<caption>' || {_ESCAPED.format('cap')} || '</caption>', '')")}
+  WHEN 'figure' THEN '<figure>' || nullif(concat_ws('', '<p>' || {_ESCAPED.format('description')} || '</p>', '<p>' || {_ESCAPED.format('ocr')} || '</p>', CASE WHEN n % 4 = 0 THEN {_html_grid('ws', 'true')} END, '<figcaption>' || {_ESCAPED.format('cap')} || '</figcaption>'), '') || '</figure>'
+  ELSE '<p>' || {_ESCAPED.format('trim(text)')} || '</p>' END AS part FROM prose),
+ lists AS (SELECT *, sum(CASE WHEN kind = 'list_item' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS l FROM part),
+ segments AS (SELECT doc_id, min(ord) AS ord, CASE WHEN kind = 'list_item' THEN '<ul>' || string_agg(part, '' ORDER BY ord) || '</ul>' ELSE min(part) END AS text FROM lists WHERE part <> '' GROUP BY doc_id, kind = 'list_item', CASE WHEN kind = 'list_item' THEN l ELSE -ord - 1 END, kind)"""
+
+
+@query("document_html", f"""WITH {_HTML} SELECT doc_id, md5('<!DOCTYPE html>' || chr(10) || '<html lang="en">' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10) || '<title>Conversation ' || doc_id || '</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || string_agg(text, chr(10) ORDER BY ord) || chr(10) || '</body>' || chr(10) || '</html>') AS html FROM segments GROUP BY 1""")
 def document_html(spark, sf_dir):
     rows = linear.to_html(conversation_blocks(spark, sf_dir))
-    return linear.html_page(rows.withColumns({"title": F.concat(F.lit("Conversation "), F.col("doc_id").cast("string")), "language": F.lit("en")})).select("doc_id", "html")
+    return linear.html_page(rows.withColumns({"title": F.concat(F.lit("Conversation "), F.col("doc_id").cast("string")), "language": F.lit("en")})).select("doc_id", F.md5("html").alias("html"))
 
 
 # figures ------------------------------------------------------------------------------------------------------------------------
@@ -191,7 +210,9 @@ def figure_kinds(spark, sf_dir):
     return figures.routed(kinds).select("doc_id", "ord", "kind", "kind_score", "family", "language")
 
 
-@query("enriched_figures")
+@query("enriched_figures", """WITH l AS (SELECT conv_id AS doc_id, turn * 1000 + i - 1 AS ord, length(l) AS n FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations)),
+ k AS (SELECT *, CASE WHEN n % 9 = 8 THEN NULL WHEN (n % 11) / 10e0 >= 0.85 THEN 'scanned_text' WHEN n % 9 <> 0 AND least((n * 3) % 400, (n * 7) % 400) < 48 THEN 'decorative' ELSE 'photo' END AS kind FROM l)
+ SELECT doc_id, ord::INTEGER AS ord, kind, CASE WHEN kind IS NULL THEN 'old' WHEN kind = 'scanned_text' THEN '[OCR] read ' || ord WHEN kind = 'photo' THEN 'shows photo' || chr(10) || '[Data]' || chr(10) || '| k | ' || ord || ' |' || chr(10) || '| --- | --- |' END AS shown FROM k""")
 def enriched_figures(spark, sf_dir):
     """Figures after their branches: text read from scans, descriptions of others, as passages show them."""
     source = conversation_figures(spark, sf_dir).withColumn("figure", F.struct(F.lit("old").alias("description"), F.lit(None).cast("string").alias("ocr_text"), F.lit(None).cast(tables.GRID).alias("data")))
