@@ -6,7 +6,7 @@ from lodestone.functions.vectors import dot
 from lodestone.operators import accounts, conditions, grid, trees
 from lodestone.operators.conditions import Condition
 from lodestone.plans.registry import query
-from lodestone.sources import runs
+from lodestone.sources import corpora, runs
 from lodestone.sources.tables import table
 from lodestone.streaming.streams import shared_folder
 
@@ -158,3 +158,34 @@ def storage_rollup(spark, sf_dir):
     cut = docs.select("doc_id", F.posexplode(starts).alias("chunk", "start"))
     jobs = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", "ts", "event_type")
     return accounts.footprint([("documents", docs), ("blocks", lines), ("chunks", cut), ("metadata", table(spark, sf_dir, "labels")), ("observability", jobs)], "doc_id")
+
+
+# corpora ------------------------------------------------------------------------------------------------------------------------
+
+
+def benchmark_papers(spark, sf_dir):
+    """Papers of the benchmark's items: a section a line, its paragraphs a sentence each; the first words ask, every other line answers."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", "\n", -1).alias("l"), "text")
+    answer = lambda x, i: F.struct((i % 3 == 2).alias("unanswerable"), F.array(x, F.concat(F.lit("FLOAT SELECTED: "), x), x).alias("evidence"))
+    return items.select(
+        F.col("item_id").cast("string").alias("id"), F.substring_index("text", " ", 3).alias("title"),
+        F.struct(F.transform("l", lambda x, i: F.when(i % 2 == 0, F.concat(F.lit("Part "), i.cast("string"))).otherwise(" ")).alias("section_name"), F.transform("l", lambda x: F.split(x, r"\. ", -1)).alias("paragraphs")).alias("full_text"),
+        F.struct(F.array(F.lit("What?"), F.lit(" ")).alias("question"), F.array(F.struct(F.transform("l", answer).alias("answer")), F.struct(F.transform("l", answer).alias("answer"))).alias("answers")).alias("qas"),
+    )
+
+
+@query("corpus_pages", """WITH l AS (SELECT item_id, text, string_split(text, chr(10)) AS ls FROM benchmark), s AS (SELECT item_id, text, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line FROM l),
+ p AS (SELECT item_id, text, i, generate_subscripts(string_split(line, '. '), 1) AS j, unnest(string_split(line, '. ')) AS p FROM s),
+ e AS (SELECT item_id, text, i, j, '<p>' || replace(replace(replace(replace(replace(trim(p), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</p>' AS h FROM p WHERE trim(p) <> '' UNION ALL SELECT item_id, text, i, 0, '<h2>Part ' || i || '</h2>' FROM s WHERE i % 2 = 0),
+ t AS (SELECT item_id, replace(replace(replace(replace(replace(trim(array_to_string(string_split(text, ' ')[1:3], ' ')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS t FROM benchmark)
+ SELECT item_id::VARCHAR AS id, md5('<!doctype html><html><head><title>' || min(t) || '</title></head><body>' || chr(10) || '<h1>' || min(t) || '</h1>' || chr(10) || string_agg(h, chr(10) ORDER BY i, j) || chr(10) || '</body></html>') AS html FROM e JOIN t USING (item_id) GROUP BY item_id""")
+def corpus_pages(spark, sf_dir):
+    return corpora.pages(benchmark_papers(spark, sf_dir)).withColumn("html", F.md5("html"))
+
+
+@query("corpus_questions", """WITH l AS (SELECT item_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM benchmark),
+ u AS (SELECT item_id, trim(line) AS e, min(i) AS i FROM l WHERE i % 3 <> 2 AND len(regexp_extract_all(line, '\\S+')) >= 5 GROUP BY 1, 2)
+ SELECT item_id::VARCHAR AS id, 0 AS number, 'What?' AS question, md5(string_agg(e, chr(10) ORDER BY i)) AS evidences, count(*)::INTEGER AS n FROM u GROUP BY 1""")
+def corpus_questions(spark, sf_dir):
+    rows = corpora.questions(benchmark_papers(spark, sf_dir))
+    return rows.select("id", "number", "question", F.md5(F.array_join("evidences", "\n")).alias("evidences"), F.size("evidences").alias("n"))

@@ -114,3 +114,20 @@ def test_finalised_and_projected_hits(spark):
     assert retrieval.projected(hits, []).columns == ["query_id", "chunk_id", "document_id"]
     with pytest.raises(ValueError, match="nope, x"):
         retrieval.projected(hits, ["x", "nope", "text"])
+
+
+def test_corpora(spark, tmp_path):
+    from lodestone.sources import corpora
+
+    passage = "five words of real evidence"
+    papers = [
+        {"id": "a", "title": "T & <t>", "full_text": {"section_name": ["Intro", None, " "], "paragraphs": [["One 'x'.", " "], ["Two."], None]},
+         "qas": {"question": [" Q1? ", "Q2?", "", "Q4?"], "answers": [{"answer": [{"unanswerable": False, "evidence": [passage, f" {passage} ", "too short", f"FLOAT SELECTED: {passage}"]}, {"unanswerable": True, "evidence": ["never used at all here"]}]}, {"answer": [{"unanswerable": True, "evidence": [passage]}]}, {"answer": [{"evidence": [passage]}]}, {"answer": []}]}},
+        {"id": "b", "title": None, "full_text": None, "qas": {"question": ["Q?"], "answers": [{"answer": [{"unanswerable": False, "evidence": None}]}]}}, {"id": "c"},
+    ]
+    (tmp_path / "papers.jsonl").write_text("\n".join(map(json.dumps, papers)))
+    rows = corpora.read(spark, str(tmp_path / "papers.jsonl"))
+    html = {r["id"]: r["html"] for r in corpora.pages(rows).collect()}
+    assert html["a"] == "<!doctype html><html><head><title>T &amp; &lt;t&gt;</title></head><body>\n<h1>T &amp; &lt;t&gt;</h1>\n<h2>Intro</h2>\n<p>One &#x27;x&#x27;.</p>\n<p>Two.</p>\n</body></html>" and set(html) == {"a", "b", "c"}
+    assert [tuple(r) for r in corpora.questions(rows).collect()] == [("a", 0, "Q1?", [passage])]
+    assert [r["id"] for r in corpora.answerable(rows).collect()] == ["a"]
