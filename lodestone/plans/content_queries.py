@@ -176,7 +176,22 @@ def passages(spark, sf_dir):
     return b.select("doc_id", "ord", "text", F.col("page").cast("string").alias("section"), F.lit(False).alias("atomic"))
 
 
-@query("chunks_fixed_size")
+_TOKENS = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]'))"
+# pieces: a long text's sentences, and a long sentence's words; ranges [a, b) of a document's pieces, numbered from 0, one after the other; up[i + 1] are the tokens before piece i
+FIXED = f"""WITH RECURSIVE {LINES},
+ cut AS (SELECT doc_id, ord, CASE WHEN length(text) > 256 AND {_TOKENS.format('text')} > 256 THEN string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9À-Ü])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) ELSE [text] END AS s FROM lines),
+ sentence AS (SELECT doc_id, ord, generate_subscripts(s, 1) AS p, unnest(s) AS text FROM cut),
+ hard AS (SELECT doc_id, ord, p, CASE WHEN {_TOKENS.format('text')} > 256 THEN list_transform(range(0, (len(regexp_split_to_array(trim(text), '\\s+')) + 255) // 256), lambda k: array_to_string(regexp_split_to_array(trim(text), '\\s+')[256 * k + 1 : 256 * k + 256], ' ')) ELSE [text] END AS h FROM sentence),
+ piece AS (SELECT doc_id, ord, p, generate_subscripts(h, 1) AS q, unnest(h) AS text FROM hard),
+ items AS (SELECT doc_id, list(ord ORDER BY ord, p, q) AS od, list(text ORDER BY ord, p, q) AS tx, list({_TOKENS.format('text')} ORDER BY ord, p, q) AS tk FROM piece WHERE trim(text) <> '' GROUP BY 1),
+ sums AS (SELECT *, list_transform(range(0, len(tk) + 1), lambda i: coalesce(list_sum(tk[1:i]), 0)) AS up FROM items),
+ spans AS (SELECT doc_id, 0 AS chunk, 0::BIGINT AS a, list_max(list_filter(range(1, len(tk) + 1), lambda b: b = 1 OR up[b + 1] <= 256)) AS b FROM sums
+  UNION ALL SELECT doc_id, chunk + 1, c, list_max(list_filter(range(c + 1, len(tk) + 1), lambda e: e = c + 1 OR up[e + 1] - up[c + 1] <= 256)) FROM (
+   SELECT s.*, t.tk, t.up, CASE WHEN t.up[b + 2] - t.up[tail + 1] <= 256 THEN tail ELSE b END AS c FROM (SELECT spans.*, list_min(list_filter(range(a + 1, b + 1), lambda j: up[b + 1] - up[j + 1] <= 32)) AS tail FROM spans JOIN sums USING (doc_id)) s JOIN sums t USING (doc_id) WHERE b < len(t.tk)))
+ SELECT doc_id, chunk::BIGINT AS chunk, array_to_string(tx[a + 1 : b], chr(10) || chr(10)) AS text, od[a + 1] AS first_ord, od[b] AS last_ord, (up[b + 1] - up[a + 1])::INTEGER AS tokens FROM spans JOIN sums USING (doc_id)"""
+
+
+@query("chunks_fixed_size", FIXED)
 def chunks_fixed_size(spark, sf_dir):
     return chunks.fixed_size(passages(spark, sf_dir), 256, 32)
 

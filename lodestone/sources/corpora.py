@@ -49,7 +49,7 @@ def questions(papers: DataFrame) -> DataFrame:
     answers = F.filter(F.coalesce("x.a.answer", F.array().cast("array<struct<unanswerable:boolean,evidence:array<string>>>")), lambda a: ~F.coalesce(a["unanswerable"], F.lit(False)))
     every = F.flatten(F.transform(answers, lambda a: F.coalesce(a["evidence"], F.array().cast("array<string>"))))
     usable = F.filter(every, lambda e: e.isNotNull() & ~e.contains(FLOAT) & (F.size(F.filter(F.split(e, r"\s+"), lambda w: w != "")) >= LEAST_WORDS))
-    rows = pairs.select("id", "number", F.trim("x.q").alias("question"), F.array_distinct(F.transform(usable, F.trim)).alias("evidences"))
+    rows = pairs.select("id", "number", F.trim("x.q").alias("question"), F.array_distinct(F.transform(usable, lambda e: F.trim(e))).alias("evidences"))
     return rows.where((F.coalesce("question", F.lit("")) != "") & (F.size("evidences") > 0))
 
 
