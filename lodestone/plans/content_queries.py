@@ -177,18 +177,37 @@ def passages(spark, sf_dir):
 
 
 _TOKENS = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]'))"
-# pieces: a long text's sentences, and a long sentence's words; ranges [a, b) of a document's pieces, numbered from 0, one after the other; up[i + 1] are the tokens before piece i
-FIXED = f"""WITH RECURSIVE {LINES},
- cut AS (SELECT doc_id, ord, CASE WHEN length(text) > 256 AND {_TOKENS.format('text')} > 256 THEN string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9À-Ü])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) ELSE [text] END AS s FROM lines),
- sentence AS (SELECT doc_id, ord, generate_subscripts(s, 1) AS p, unnest(s) AS text FROM cut),
- hard AS (SELECT doc_id, ord, p, CASE WHEN {_TOKENS.format('text')} > 256 THEN list_transform(range(0, (len(regexp_split_to_array(trim(text), '\\s+')) + 255) // 256), lambda k: array_to_string(regexp_split_to_array(trim(text), '\\s+')[256 * k + 1 : 256 * k + 256], ' ')) ELSE [text] END AS h FROM sentence),
- piece AS (SELECT doc_id, ord, p, generate_subscripts(h, 1) AS q, unnest(h) AS text FROM hard),
- items AS (SELECT doc_id, list(ord ORDER BY ord, p, q) AS od, list(text ORDER BY ord, p, q) AS tx, list({_TOKENS.format('text')} ORDER BY ord, p, q) AS tk FROM piece WHERE trim(text) <> '' GROUP BY 1),
- sums AS (SELECT *, list_transform(range(0, len(tk) + 1), lambda i: coalesce(list_sum(tk[1:i]), 0)) AS up FROM items),
- spans AS (SELECT doc_id, 0 AS chunk, 0::BIGINT AS a, list_max(list_filter(range(1, len(tk) + 1), lambda b: b = 1 OR up[b + 1] <= 256)) AS b FROM sums
-  UNION ALL SELECT doc_id, chunk + 1, c, list_max(list_filter(range(c + 1, len(tk) + 1), lambda e: e = c + 1 OR up[e + 1] - up[c + 1] <= 256)) FROM (
-   SELECT s.*, t.tk, t.up, CASE WHEN t.up[b + 2] - t.up[tail + 1] <= 256 THEN tail ELSE b END AS c FROM (SELECT spans.*, list_min(list_filter(range(a + 1, b + 1), lambda j: up[b + 1] - up[j + 1] <= 32)) AS tail FROM spans JOIN sums USING (doc_id)) s JOIN sums t USING (doc_id) WHERE b < len(t.tk)))
- SELECT doc_id, chunk::BIGINT AS chunk, array_to_string(tx[a + 1 : b], chr(10) || chr(10)) AS text, od[a + 1] AS first_ord, od[b] AS last_ord, (up[b + 1] - up[a + 1])::INTEGER AS tokens FROM spans JOIN sums USING (doc_id)"""
+
+
+def _pieces_sql(most: int) -> str:
+    """A document's pieces as lists: a long text's sentences, and a long sentence's words; up[i + 1] are the tokens before piece i."""
+    return f"""{LINES},
+ cut AS (SELECT doc_id, ord, page, CASE WHEN length(text) > {most} AND {_TOKENS.format('text')} > {most} THEN string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9À-Ü])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) ELSE [text] END AS s FROM lines),
+ sentence AS (SELECT doc_id, ord, page, generate_subscripts(s, 1) AS p, unnest(s) AS text FROM cut),
+ hard AS (SELECT doc_id, ord, page, p, CASE WHEN {_TOKENS.format('text')} > {most} THEN list_transform(range(0, (len(regexp_split_to_array(trim(text), '\\s+')) + {most - 1}) // {most}), lambda k: array_to_string(regexp_split_to_array(trim(text), '\\s+')[{most} * k + 1 : {most} * k + {most}], ' ')) ELSE [text] END AS h FROM sentence),
+ piece AS (SELECT doc_id, ord, page, p, generate_subscripts(h, 1) AS q, unnest(h) AS text FROM hard),
+ items AS (SELECT doc_id, list(ord ORDER BY ord, p, q) AS od, list(page ORDER BY ord, p, q) AS pg, list(text ORDER BY ord, p, q) AS tx, list({_TOKENS.format('text')} ORDER BY ord, p, q) AS tk FROM piece WHERE trim(text) <> '' GROUP BY 1),
+ sums AS (SELECT *, list_transform(range(0, len(tk) + 1), lambda i: coalesce(list_sum(tk[1:i]), 0)) AS up FROM items)"""
+
+
+def _spans_sql(size: int, overlap: int, sections: bool) -> str:
+    """Ranges [a, b) of a document's pieces, numbered from 0, one after the other; with sections they end with each page as well."""
+    same = "list_aggregate(pg[{0} + 1 : e], 'min') = list_aggregate(pg[{0} + 1 : e], 'max')" if sections else "true"
+    end = lambda a: f"list_max(list_filter(range({a} + 1, len(tk) + 1), lambda e: e = {a} + 1 OR (up[e + 1] - up[{a} + 1] <= {size} AND {same.format(a)})))"
+    turn = "t.pg[b + 1] <> t.pg[b]" if sections else "false"
+    return f"""spans AS (SELECT doc_id, 0 AS chunk, 0::BIGINT AS a, {end('0')} AS b FROM sums
+  UNION ALL SELECT doc_id, chunk + 1, c, {end('c')} FROM (
+   SELECT s.*, t.tk, t.up, t.pg, CASE WHEN {turn} THEN b WHEN t.up[b + 2] - t.up[tail + 1] <= {size} THEN tail ELSE b END AS c FROM (SELECT spans.*, list_min(list_filter(range(a + 1, b + 1), lambda j: up[b + 1] - up[j + 1] <= {overlap})) AS tail FROM spans JOIN sums USING (doc_id)) s JOIN sums t USING (doc_id) WHERE b < len(t.tk)))"""
+
+
+_CHUNK = "doc_id, {}::BIGINT AS chunk, array_to_string(tx[a + 1 : b], chr(10) || chr(10)) AS text, od[a + 1] AS first_ord, od[b] AS last_ord, (up[b + 1] - up[a + 1])::INTEGER AS tokens"
+FIXED = f"WITH RECURSIVE {_pieces_sql(256)}, {_spans_sql(256, 32, False)} SELECT {_CHUNK.format('chunk')} FROM spans JOIN sums USING (doc_id)"
+# small neighbours join: g numbers the joined ranges
+STRUCTURED = f"""WITH RECURSIVE {_pieces_sql(512)}, {_spans_sql(256, 32, True)},
+ merged AS (SELECT doc_id, 0 AS k, 0 AS g, a, b FROM spans WHERE chunk = 0
+  UNION ALL SELECT doc_id, k + 1, CASE WHEN j THEN g ELSE g + 1 END, CASE WHEN j THEN a ELSE sa END, sb FROM (
+   SELECT m.*, s.a AS sa, s.b AS sb, (up[s.b + 1] - up[s.a + 1] < 32 OR up[m.b + 1] - up[m.a + 1] < 32) AND up[s.b + 1] - up[m.a + 1] <= 256 AS j FROM merged m JOIN spans s ON s.doc_id = m.doc_id AND s.chunk = m.k + 1 JOIN sums t ON t.doc_id = m.doc_id))
+ SELECT {_CHUNK.format('g')} FROM (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY doc_id, g ORDER BY k DESC) = 1) JOIN sums USING (doc_id)"""
 
 
 @query("chunks_fixed_size", FIXED)
@@ -196,7 +215,7 @@ def chunks_fixed_size(spark, sf_dir):
     return chunks.fixed_size(passages(spark, sf_dir), 256, 32)
 
 
-@query("chunks_structure_aware")
+@query("chunks_structure_aware", STRUCTURED)
 def chunks_structure_aware(spark, sf_dir):
     return chunks.structure_aware(passages(spark, sf_dir), 256, 512, 32, 32)
 
