@@ -95,7 +95,23 @@ def chunk_enablement(spark, sf_dir):
     return rows.select("doc_id", "ord", blocks.enabled("override", "role").alias("enabled"))
 
 
-@query("page_blocks")
+# blocks of the given pages: tags cut the text; the last tag and the open furniture say what a piece is
+PAGE_BLOCKS = """raw AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(html, '<!--(.|\\n)*?-->', '', 'g'), '(?s)<(script|style|template|noscript|title)[^>]*>.*?</(script|style|template|noscript|title)>', '', 'g') AS h FROM pages),
+ tok AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS t FROM (SELECT doc_id, regexp_extract_all(h, '(?s)<[^>]+>|[^<]+') AS t FROM raw)),
+ tag AS (SELECT *, lower(regexp_extract(t, '^<(/?[a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM tok),
+ mark AS (SELECT *, ltrim(name, '/') IN ('nav', 'header', 'footer', 'aside') AS fur, ltrim(name, '/') IN ('p', 'li', 'pre', 'figcaption', 'td', 'th', 'div', 'article', 'blockquote', 'br', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6') AS blk FROM tag),
+ state AS (SELECT *, sum((fur OR blk)::INT) OVER w AS seg, sum(CASE WHEN fur THEN CASE WHEN name LIKE '/%' THEN -1 ELSE 1 END ELSE 0 END) OVER w AS depth,
+  last_value(CASE WHEN blk AND name NOT LIKE '/%' THEN CASE WHEN name = 'br' THEN 'p' ELSE name END WHEN name LIKE '/%' AND (blk OR fur) THEN 'p' END IGNORE NULLS) OVER w AS cur FROM mark WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+ said AS (SELECT doc_id, seg, max(depth) AS depth, max(coalesce(cur, 'p')) AS cur, trim(regexp_replace(replace(replace(replace(replace(replace(replace(string_agg(t, '' ORDER BY i), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM state WHERE name = '' AND t NOT LIKE '<%' GROUP BY 1, 2),
+ pblocks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seg) - 1)::INTEGER AS ord, CASE WHEN depth > 0 THEN 'header_footer' WHEN cur LIKE 'h_' THEN 'heading' WHEN cur = 'li' THEN 'list_item' WHEN cur = 'pre' THEN 'code' WHEN cur = 'figcaption' THEN 'caption' ELSE 'paragraph' END AS block_type,
+  CASE WHEN cur LIKE 'h_' THEN right(cur, 1)::INTEGER END AS level, 0 AS page, text FROM said WHERE text <> '')"""
+PAGE_ROLES = f"""{PAGE_BLOCKS}, n AS (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm FROM pblocks), m AS (SELECT *, {_CHROME} AS chrome FROM n), l AS (SELECT *, block_type IN ('paragraph', 'list_item', 'code') AND (chrome OR {_COUNT.format('norm')} <= 4) AS label FROM m),
+ isl AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - row_number() OVER (PARTITION BY doc_id, label ORDER BY ord) AS island FROM l),
+ roles AS (SELECT doc_id, ord, block_type, level, page, text, CASE WHEN block_type = 'header_footer' THEN 'header_footer' WHEN block_type = 'heading' AND lower(trim(text)) IN ('contents', 'table of contents', 'toc', 'sommaire', 'table des matières', 'índice') THEN 'toc'
+  WHEN (label AND count(*) OVER (PARTITION BY doc_id, label, island) >= 3) OR (chrome AND block_type <> 'heading') THEN 'boilerplate' ELSE 'body' END AS role FROM isl)"""
+
+
+@query("page_blocks", f"WITH {PAGE_ROLES} SELECT * FROM roles")
 def page_blocks(spark, sf_dir):
     """Blocks of all pages, with roles."""
     return blocks.roles(parse_html(table(spark, sf_dir, "pages")))
@@ -107,17 +123,24 @@ def page_titles(spark, sf_dir):
     return blocks.first_heading(parse_html(table(spark, sf_dir, "pages"))).select("doc_id", F.md5("title").alias("title"))
 
 
-@query("page_heading_tree")
+_TREE = ", ".join(f"max(CASE WHEN level = {k} AND block_type = 'heading' THEN ord END) OVER w AS at{k}, max(CASE WHEN level < {k} AND block_type = 'heading' THEN ord END) OVER w AS over{k}" for k in range(1, 7))
+_PARENT = ", ".join(f"CASE WHEN at{k} > coalesce(over{k}, -1) AND (block_type <> 'heading' OR {k} < level) THEN at{k} END" for k in range(6, 0, -1))
+
+
+@query("page_heading_tree", f"WITH {PAGE_BLOCKS}, t AS (SELECT *, {_TREE} FROM pblocks WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT doc_id, ord, block_type, level, coalesce({_PARENT}) AS parent FROM t")
 def page_heading_tree(spark, sf_dir):
     return blocks.heading_tree(parse_html(table(spark, sf_dir, "pages"))).select("doc_id", "ord", "block_type", "level", "parent")
 
 
-@query("page_markdown")
+@query("page_markdown", f"""WITH {PAGE_BLOCKS}, p AS (SELECT *, CASE block_type WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'list_item' THEN '- ' || text WHEN 'code' THEN '```' || chr(10) || text || chr(10) || '```' ELSE text END AS part,
+  CASE WHEN block_type = 'list_item' AND lag(block_type) OVER (PARTITION BY doc_id ORDER BY ord) = 'list_item' THEN chr(10) ELSE chr(10) || chr(10) END AS sep FROM pblocks WHERE block_type <> 'header_footer')
+ SELECT doc_id, substr(string_agg(sep || part, '' ORDER BY ord), 3) AS markdown FROM p GROUP BY 1""")
 def page_markdown(spark, sf_dir):
     return blocks.to_markdown(parse_html(table(spark, sf_dir, "pages")))
 
 
-@query("page_html")
+@query("page_html", f"""WITH {PAGE_BLOCKS}, p AS (SELECT doc_id, ord, CASE block_type WHEN 'heading' THEN 'h' || level WHEN 'list_item' THEN 'li' WHEN 'code' THEN 'pre' ELSE 'p' END AS tag, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM pblocks WHERE block_type <> 'header_footer')
+ SELECT doc_id, '<article>' || string_agg('<' || tag || '>' || t || '</' || tag || '>', '' ORDER BY ord) || '</article>' AS html FROM p GROUP BY 1""")
 def page_html(spark, sf_dir):
     return blocks.to_html(parse_html(table(spark, sf_dir, "pages")))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import blocks as furniture
 from lodestone.operators import assemble, chunks, figures, linear, passages, tables
+from lodestone.plans.content_queries import PAGE_ROLES
 from lodestone.plans.registry import query
 from lodestone.sources import sidecar
 from lodestone.sources.pages import parse_html
@@ -92,10 +93,12 @@ def parse_quality(spark, sf_dir):
     return furniture.quality(conversation_blocks(spark, sf_dir))
 
 
-@query("passage_roles")
+@query("passage_roles", f"""WITH {PAGE_ROLES}, h AS (SELECT *, max(CASE WHEN block_type = 'heading' AND level = 1 THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord) AS at FROM roles)
+ SELECT h.doc_id, h.ord, CASE WHEN h.block_type <> 'header_footer' AND lower(trim(t.text)) IN ('contents', 'table of contents', 'toc', 'sommaire', 'table des matières', 'índice') THEN 'toc' ELSE h.role END AS role, coalesce(t.text, '') AS section,
+  len(regexp_extract_all(h.text, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]'))::INTEGER AS tokens FROM h LEFT JOIN roles t ON t.doc_id = h.doc_id AND t.ord = h.at""".replace(" AS at ", " AS place ").replace("h.at", "h.place"))
 def passage_roles(spark, sf_dir):
     """Roles of the passages of all pages."""
-    return passages.passages(parse_html(table(spark, sf_dir, "pages"))).select("doc_id", "ord", "role", "heading_path", "tokens")
+    return passages.passages(parse_html(table(spark, sf_dir, "pages"))).select("doc_id", "ord", "role", F.array_join("heading_path", " › ").alias("section"), "tokens")
 
 
 @query("absorbed_passages")
