@@ -273,7 +273,6 @@ def normalized_texts(spark, sf_dir):
 
 # evaluation: each benchmark item's first sentence asks, its text is the evidence ------------------------------------------------
 
-TOKEN_SALTS = 8  #: tasks that share the documents of one token
 _W = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 
 
@@ -291,14 +290,12 @@ def evidence_coverage(spark, sf_dir):
 
 
 def coverage(documents, items):
-    """(item_id, covering, best): a join on tokens, counted per pair; a token that many documents have is dealt out by document,
-    and each task sums what it has of a pair before the shuffle."""
+    """(item_id, covering, best): a join on tokens, counted per pair. No hint is given: Spark broadcasts few items' tokens, and of a shuffle
+    join splits the documents of a frequent token; each task sums what it has of a pair before the next shuffle."""
     ev = items.select("item_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("ev"))
     tokens = ev.select("item_id", F.size("ev").alias("n"), F.explode("ev").alias("t")).groupBy("item_id", "n", "t").agg(F.count("*").alias("k"))
-    tokens = tokens.select("*", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))).alias("salt"))
     docs = documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("t"))
-    docs = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(TOKEN_SALTS)).cast("int"))
-    share = docs.join(tokens, ["t", "salt"]).groupBy("item_id", "doc_id", "n").agg((F.sum("k") / F.col("n")).alias("share"))
+    share = docs.join(tokens, "t").groupBy("item_id", "doc_id", "n").agg((F.sum("k") / F.col("n")).alias("share"))
     got = share.groupBy("item_id").agg(F.count_if(F.col("share") >= 0.6).alias("covering"), F.round(F.max("share"), 6).alias("best"))
     return items.select("item_id").join(got, "item_id", "left").select("item_id", F.coalesce("covering", F.lit(0)).alias("covering"), F.coalesce("best", F.lit(0.0)).alias("best"))
 
