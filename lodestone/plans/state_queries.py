@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import dot
-from lodestone.operators import accounts, conditions, grid, trees
+from lodestone.operators import accounts, conditions, grid, hints, trees
 from lodestone.operators.conditions import Condition
 from lodestone.plans.registry import query
 from lodestone.sources import corpora, runs
@@ -189,3 +189,20 @@ def corpus_pages(spark, sf_dir):
 def corpus_questions(spark, sf_dir):
     rows = corpora.questions(benchmark_papers(spark, sf_dir))
     return rows.select("id", "number", "question", F.md5(F.array_join("evidences", "\n")).alias("evidences"), F.size("evidences").alias("n"))
+
+
+@query("filter_hints", """WITH s AS (SELECT 'source' AS field, source AS value FROM documents UNION ALL SELECT 'lang', lang FROM documents), d AS (SELECT DISTINCT field, value FROM s),
+ asked AS (SELECT DISTINCT field, upper(value) AS value, false AS excluded FROM d UNION SELECT field, value || 'x', true FROM d UNION SELECT field, 'qqqqqqqq', false FROM d),
+ o AS (SELECT * FROM asked WHERE (field, lower(value)) NOT IN (SELECT field, lower(value) FROM d)),
+ r AS (SELECT o.field, o.value, o.excluded, d.value AS other, round(1 - levenshtein(lower(d.value), lower(o.value))::DOUBLE / greatest(length(d.value), length(o.value)), 6) AS ratio FROM o JOIN d USING (field)),
+ t AS (SELECT field, value, excluded, string_agg(other, ', ' ORDER BY ratio DESC, other) AS s FROM (SELECT * FROM r WHERE ratio >= 0.6 QUALIFY row_number() OVER (PARTITION BY field, value, excluded ORDER BY ratio DESC, other) <= 3) GROUP BY ALL)
+ SELECT o.field, o.value, o.excluded, 'No document has ' || o.field || ' = "' || o.value || '"' || CASE WHEN o.excluded THEN ', so this exclusion removes nothing.' ELSE '.' END || coalesce(' Closest stored values: ' || s || '.', ' No stored value of this field is close to it.') AS message FROM o LEFT JOIN t USING (field, value, excluded)""")
+def filter_hints(spark, sf_dir):
+    """What is said of asked values of documents that are not there: all stored ones with a letter more, and one like none."""
+    docs = table(spark, sf_dir, "documents")
+    each = docs.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("source", "lang")])))
+    stored = each.groupBy("field", "value").agg(F.count("*").alias("n"))
+    known = stored.select("field", "value")
+    no, yes = F.lit(False).alias("excluded"), F.lit(True).alias("excluded")
+    asked = known.select("field", F.upper("value").alias("value"), no).union(known.select("field", F.concat("value", F.lit("x")), yes)).union(known.select("field", F.lit("qqqqqqqq"), no)).distinct()
+    return hints.unmatched(asked, stored).drop("suggestions")

@@ -131,3 +131,19 @@ def test_corpora(spark, tmp_path):
     assert html["a"] == "<!doctype html><html><head><title>T &amp; &lt;t&gt;</title></head><body>\n<h1>T &amp; &lt;t&gt;</h1>\n<h2>Intro</h2>\n<p>One &#x27;x&#x27;.</p>\n<p>Two.</p>\n</body></html>" and set(html) == {"a", "b", "c"}
     assert [tuple(r) for r in corpora.questions(rows).collect()] == [("a", 0, "Q1?", [passage])]
     assert [r["id"] for r in corpora.answerable(rows).collect()] == ["a"]
+
+
+def test_hints(spark):
+    from lodestone.functions.text import surface
+    from lodestone.operators import hints
+
+    stored = spark.createDataFrame([("lang", "en", 5), ("lang", "eng", 1), ("city", "Paris", 3), ("city", "Parma", 2), ("city", "engi", 1)], "field string, value string, n long")
+    asked = spark.createDataFrame([("city", "PARIS", False), ("city", "Pariss", False), ("lang", "engi", True), ("city", "xxxxxx", True)], "field string, value string, excluded boolean")
+    got = {(r["field"], r["value"]): r for r in hints.unmatched(asked, stored).collect()}
+    assert set(got) == {("city", "Pariss"), ("lang", "engi"), ("city", "xxxxxx")} and got["city", "Pariss"]["suggestions"] == ["Paris"] and got["lang", "engi"]["suggestions"] == ["eng"]
+    assert got["lang", "engi"]["message"] == 'No document has lang = "engi", so this exclusion removes nothing. Closest stored values: eng.' and got["city", "xxxxxx"]["message"].endswith("No stored value of this field is close to it.")
+    assert hints.zero_hits({"a": 1}, 3) == hints.zero_hits({}, 0) == hints.zero_hits({"a": 1}, 0, {"a"}) == []
+    assert "only filter" in hints.zero_hits({"a": "é"}, 0)[0][1] and '"é"' in hints.zero_hits({"a": "é"}, 0)[0][1]
+    both = hints.zero_hits({"a": {"gte": 1}, "b": "x"}, 0, verified={"a", "b"}, text_fields={"b"})
+    assert [n for n, _ in both] == ["a", "b"] and 'a {"gte": 1}' in both[0][1] and "too narrow" in both[0][1] and "b matches text" in both[1][1]
+    assert hints.termless("the of", ["x", "y"], surface)[1][0] == "y" and hints.termless("cats", ["x"], surface) == []
