@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import partitions, read, small
 
-CACHE = 1 << 19  #: words whose ids are broadcast (about 30 bytes each)
+CACHE = 1 << 18  #: words whose ids are broadcast (about 30 bytes each, some 200 in each Python worker)
 BUCKETS = 1 << 16
 BATCH = 4_000_000  #: characters whose words are looked up together
 LONG = 64  #: bytes; longer words are merged by a heap
