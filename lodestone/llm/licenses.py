@@ -19,7 +19,7 @@ from lodestone.llm.common import read, small, texts
 from lodestone.llm.licence_texts import NOTICES, TEXTS
 
 # The contract's phrases and labels.
-PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 TEMPLATES = [*TEXTS, *NOTICES]
 
