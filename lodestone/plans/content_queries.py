@@ -95,14 +95,21 @@ def chunk_enablement(spark, sf_dir):
     return rows.select("doc_id", "ord", blocks.enabled("override", "role").alias("enabled"))
 
 
+def _unescaped(c: str) -> str:
+    """The named characters of the given pages, also without a semicolon, as HTML reads these names; & last, so that none is read twice."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        c = f"regexp_replace({c}, '&{name};?', '{char}', 'g')"
+    return c
+
+
 # blocks of the given pages: tags cut the text; the last tag and the open furniture say what a piece is
-PAGE_BLOCKS = """raw AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(html, '<!--(.|\\n)*?-->', '', 'g'), '(?s)<(script|style|template|noscript|title)[^>]*>.*?</(script|style|template|noscript|title)>', '', 'g') AS h FROM pages),
+PAGE_BLOCKS = f"""raw AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(html, '<!--(.|\\n)*?-->', '', 'g'), '(?s)<(script|style|template|noscript|title)[^>]*>.*?</(script|style|template|noscript|title)>', '', 'g') AS h FROM pages),
  tok AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS t FROM (SELECT doc_id, regexp_extract_all(h, '(?s)<[^>]+>|[^<]+') AS t FROM raw)),
  tag AS (SELECT *, lower(regexp_extract(t, '^<(/?[a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM tok),
  mark AS (SELECT *, ltrim(name, '/') IN ('nav', 'header', 'footer', 'aside') AS fur, ltrim(name, '/') IN ('p', 'li', 'pre', 'figcaption', 'td', 'th', 'div', 'article', 'blockquote', 'br', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6') AS blk FROM tag),
  state AS (SELECT *, sum((fur OR blk)::INT) OVER w AS seg, sum(CASE WHEN fur THEN CASE WHEN name LIKE '/%' THEN -1 ELSE 1 END ELSE 0 END) OVER w AS depth,
   last_value(CASE WHEN blk AND name NOT LIKE '/%' THEN CASE WHEN name = 'br' THEN 'p' ELSE name END WHEN name LIKE '/%' AND (blk OR fur) THEN 'p' END IGNORE NULLS) OVER w AS cur FROM mark WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
- said AS (SELECT doc_id, seg, max(depth) AS depth, max(coalesce(cur, 'p')) AS cur, trim(regexp_replace(replace(replace(replace(replace(replace(replace(string_agg(t, '' ORDER BY i), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM state WHERE name = '' AND t NOT LIKE '<%' GROUP BY 1, 2),
+ said AS (SELECT doc_id, seg, max(depth) AS depth, max(coalesce(cur, 'p')) AS cur, trim(regexp_replace({_unescaped("string_agg(t, '' ORDER BY i)")}, '\\s+', ' ', 'g')) AS text FROM state WHERE name = '' AND t NOT LIKE '<%' GROUP BY 1, 2),
  pblocks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seg) - 1)::INTEGER AS ord, CASE WHEN depth > 0 THEN 'header_footer' WHEN cur LIKE 'h_' THEN 'heading' WHEN cur = 'li' THEN 'list_item' WHEN cur = 'pre' THEN 'code' WHEN cur = 'figcaption' THEN 'caption' ELSE 'paragraph' END AS block_type,
   CASE WHEN cur LIKE 'h_' THEN right(cur, 1)::INTEGER END AS level, 0 AS page, text FROM said WHERE text <> '')"""
 PAGE_ROLES = f"""{PAGE_BLOCKS}, n AS (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm FROM pblocks), m AS (SELECT *, {_CHROME} AS chrome FROM n), l AS (SELECT *, block_type IN ('paragraph', 'list_item', 'code') AND (chrome OR {_COUNT.format('norm')} <= 4) AS label FROM m),
@@ -117,8 +124,8 @@ def page_blocks(spark, sf_dir):
     return blocks.roles(parse_html(table(spark, sf_dir, "pages")))
 
 
-@query("page_titles", """WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g') AS t FROM pages WHERE html LIKE '%<h1>%')
- SELECT page_id AS doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS title FROM t""")
+@query("page_titles", f"""WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g') AS t FROM pages WHERE html LIKE '%<h1>%')
+ SELECT page_id AS doc_id, md5(trim(regexp_replace({_unescaped('t')}, '\\s+', ' ', 'g'))) AS title FROM t""")
 def page_titles(spark, sf_dir):
     return blocks.first_heading(parse_html(table(spark, sf_dir, "pages"))).select("doc_id", F.md5("title").alias("title"))
 
