@@ -104,7 +104,7 @@ def absorb_headings(rows: DataFrame) -> DataFrame:
     """Body passages without bare headings. A heading whose section has other content gives only its block to the next passage:
     the heading path says its text. Any other goes, as text, before the next passage (unless that begins with it), several of them
     line by line without repeats; after the last passage, behind it. A document of bare headings is one passage."""
-    doc, order = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("ord")
+    doc = Window.partitionBy("doc_id")
     rows = rows.where("role = 'body'")
     content = ~F.col("heading_only")
     # a section has content if a passage under its heading comes before the section's end
@@ -112,7 +112,8 @@ def absorb_headings(rows: DataFrame) -> DataFrame:
     owners = F.array_distinct(F.flatten(F.collect_set(F.when(content, F.col("section_key"))).over(doc)))
     rows = rows.withColumn("__owned", ~content & F.array_contains(owners, own))
     here = F.when(content, F.col("ord"))
-    ahead = F.min(here).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # from the end, since a frame up to the end is added up anew for each row
+    ahead = F.min(here).over(Window.partitionBy("doc_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0))
     last = F.max(here).over(doc)
     rows = rows.withColumns({"__into": F.coalesce(ahead, last, F.min("ord").over(doc)), "__last": last})
     part = F.struct("ord", "text", "heading_only", F.col("__owned").alias("owned"), "block_ords", "page_start", "page_end")
